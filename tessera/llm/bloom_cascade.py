@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,23 +118,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     lengths = sorted({len(path) for _, _, path in rules})
     verdicts = {host + path: verdict for verdict, host, path in rules}
 
-    @F.pandas_udf("string")
-    def fits(keys: pd.Series) -> pd.Series:
-        """The longest listed key."""
+    def run(batches):
         memo: dict[str, bool] = {}
 
-        def has(k):
-            if k not in memo:
+        def has(key):
+            if key not in memo:
                 if len(memo) > 200_000:
                     memo.clear()
-                memo[k] = cascade.has(k)
-            return memo[k]
+                memo[key] = cascade.has(key)
+            return memo[key]
 
-        return pd.Series([max((k for k in row if has(k)), key=len, default=None) for row in keys], dtype=object)
+        for batch in batches:
+            rule = [max((k for k in row if has(k)), key=len, default=None) for row in batch.column(3).to_pylist()]
+            verdict = [default if r is None else verdicts[r] for r in rule]
+            yield pa.record_batch([*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    verdict = F.create_map(*[F.lit(x) for pair in verdicts.items() for x in pair])
-    found = urls.select("page_id", "host", "path", fits(_keys(lengths)).alias("rule"))
-    return found.select("page_id", "host", "path", "rule", F.coalesce(F.when(F.col("rule").isNotNull(), F.element_at(verdict, F.coalesce("rule", F.lit("")))), F.lit(default)).alias("verdict"))
+    page_id = dict(pages.dtypes)["page_id"]
+    return urls.select("page_id", "host", "path", _keys(lengths).alias("keys")).mapInArrow(run, f"page_id {page_id}, host string, path string, rule string, verdict string")
 
 
 _EXPECTED = " union all ".join(f"select '{v}' v, '{h}' h, '{p}' p" for v, h, p in RULES)
