@@ -41,8 +41,8 @@ def test_reading_stops_early():
 
 def test_recall(vectors):
     ids, x = loaded(vectors)
-    index, books = additive_quantization.build(vectors, sample=1000)
-    got = additive_quantization.nearest(index, books, vectors.filter("vec_id % 20 = 0"), shortlist=64, block=1024).collect()
+    index, books = additive_quantization.build(vectors)
+    got = additive_quantization.nearest(index, books, vectors.filter("vec_id % 20 = 0"), block=1024).collect()
     want = brute(ids, x, sorted(i for i in ids if i % 20 == 0), 20)
     assert len(got) == len(want)
     assert len({(r.query_id, r.vec_id) for r in got} & {(w[0], w[2]) for w in want}) >= 0.9 * len(want)
