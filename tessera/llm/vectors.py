@@ -41,9 +41,11 @@ def search(candidates: DataFrame, queries: DataFrame, score, k: int, rows: int,
     """
     parts = max(1, math.ceil(rows / block))
     lots = max(1, math.ceil(queries.count() / block))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    left = candidates.withColumn("part", part(parts)).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("size", F.size("x"))
-    right = queries.withColumn("lot", part(lots)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("size", F.size("x"))
+    # Both sides' keys need the same types: a cogroup deals an int and a long of one value to different tasks.
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = candidates.withColumn("part", part(parts)).withColumn("lot", each(lots)).withColumn("size", F.size("x"))
+    right = queries.withColumn("lot", part(lots)).withColumn("part", each(parts)).withColumn("size", F.size("x"))
     keys = ["part", "lot", "size"]
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
