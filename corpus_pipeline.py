@@ -1,12 +1,50 @@
-"""The corpus pipeline; its stages come with the operators."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, personal data, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tessera.llm import packing, partenum, pii, substring_dedup, toxicity
+from tessera.llm.common import materialize, table
+
+WORDS, OVER, UNDER = 5, 80, 100
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose toxicity score is under a half."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    bad = materialize(toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct(), "toxic")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each group."""
+    return partenum.keep_first(docs, WORDS, OVER, UNDER)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of windows that stand earlier in the corpus."""
+    return substring_dedup.clean(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    return pii.mask(docs, pii.train(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", drop_repeats), ("personal_data", mask_personal_data), ("packing", pack)]
+#: No stage but the last reads or writes what SQL can express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir).select(F.col("*"))
