@@ -43,8 +43,8 @@ class FMIndex:
         last = tokens[suffixes - 1].astype(np.int64)  # before the first suffix stands the last token
         self.sigma = int(tokens.max(initial=0)) + 1
         self.bits_of = max(1, int(self.sigma - 1).bit_length())
-        counts = np.bincount(tokens, minlength=self.sigma)
-        self.first = np.r_[0, np.cumsum(counts)[:-1]]
+        self.counts = np.bincount(tokens, minlength=self.sigma)
+        self.first = np.r_[0, np.cumsum(self.counts)[:-1]]
         self.rows = []
         row = last
         for level in range(self.bits_of - 1, -1, -1):
@@ -66,17 +66,27 @@ class FMIndex:
         both = self._down(np.concatenate([low, high]), np.concatenate([symbols, symbols]))
         return base + both[: len(low)], base + both[len(low) :]
 
-    def repeated(self, tokens: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    def repeated(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         """For each start, the interval's lower end if tokens[start : start + length] stands in the text more than once, else -1.
 
-        Reads backwards from each window's end and gives a window up once its matching statistic ends short of length.
+        Reads backwards from each pattern's end and gives a pattern up once its matching statistic ends short of its length.
         """
+        lengths = np.broadcast_to(lengths, starts.shape)
         out = np.full(len(starts), -1, np.int64)
+        ends = starts + lengths
         live = np.arange(len(starts))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
-        for back in range(1, length + 1):
-            low, high = self.extend(low, high, tokens[starts[live] + length - back])
+        symbols = tokens[ends - 1]
+        low = self.first[symbols]
+        high = low + self.counts[symbols]
+        back = 1
+        while len(live):
             more = high - low > 1
             live, low, high = live[more], low[more], high[more]
-        out[live] = low
+            over = lengths[live] == back
+            if over.any():
+                out[live[over]] = low[over]
+                live, low, high = live[~over], low[~over], high[~over]
+            if len(live):
+                back += 1
+                low, high = self.extend(low, high, tokens[ends[live] - back])
         return out

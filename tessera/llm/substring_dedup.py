@@ -29,6 +29,8 @@ from .partenum import WordHashes, grams
 WINDOW = 20
 GRAM = 6
 SHARD = 20_000
+BITS = 2**24
+_NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,7 +40,7 @@ def words_of(text: str | None) -> list[bytes]:
 def anchors(words: list[bytes], memo: WordHashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of anchors, and the first and last start of the windows that have them."""
     if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return _NONE
     g = grams(memo.of(words), gram)
     wide = window - gram + 1
     at = np.concatenate([np.lib.stride_tricks.sliding_window_view(g[i : i + 65_536 + wide - 1], wide).argmin(1) + np.arange(i, min(i + 65_536, len(g) - wide + 1)) for i in range(0, len(g) - wide + 1, 65_536)])
@@ -60,11 +62,13 @@ def _marks(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 classes.append(c)
                 if doc_id < seen.get(c, doc_id + 1):
                     seen[c] = doc_id
-                    h, a, b = anchors(words, memo, window, gram)
-                    found.append([{"hash": x, "low": y, "high": z} for x, y, z in zip(h.view(np.int64).tolist(), a.tolist(), b.tolist(), strict=True)])
+                    found.append(anchors(words, memo, window, gram))
                 else:
-                    found.append([])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(found, pa.list_(pa.struct([("hash", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])))], ["doc_id", "n_words", "class", "anchors"])
+                    found.append(_NONE)
+            ends = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
+            h, a, b = (np.concatenate(c) if c else np.zeros(0) for c in zip(*found, strict=True)) if found else _NONE
+            rows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["hash", "low", "high"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), rows)], ["doc_id", "n_words", "class", "anchors"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, class long, anchors array<struct<hash:long,low:int,high:int>>")
 
@@ -84,10 +88,20 @@ def shard_windows(doc_ids: np.ndarray, lows: np.ndarray, texts: list[bytes], win
     many = sizes - window + 1
     segment = np.repeat(np.arange(len(rows)), many)
     inside = np.arange(len(segment)) - np.repeat(np.cumsum(many) - many, many)
-    low = FMIndex(tokens, window).repeated(tokens, begin[segment] + inside, window)
-    earlier = np.zeros(len(segment), bool)
+    index = FMIndex(tokens, int(sizes.max(initial=window)))
+    # A segment that stands earlier as a whole has only windows that do; the others' windows are sought one by one.
+    # The first of equal segments is among these, so each sequence that stands more than once is met there too.
+    whole = np.zeros(len(rows), bool)
+    low = index.repeated(tokens, begin, sizes)
     hit = np.flatnonzero(low >= 0)
-    _, first = np.unique(low[hit], return_index=True)
+    _, first = np.unique(np.stack([low[hit], sizes[hit]]), axis=1, return_index=True)
+    whole[hit] = True
+    whole[hit[first]] = False
+    earlier = whole[segment]
+    single = np.flatnonzero(~earlier)
+    low = index.repeated(tokens, begin[segment[single]] + inside[single], window)
+    hit = single[low >= 0]
+    _, first = np.unique(low[low >= 0], return_index=True)
     earlier[hit] = True
     earlier[hit[first]] = False
     return segment, lows[segment] + inside, inside, earlier
@@ -101,6 +115,29 @@ def _runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + window).tolist(), strict=True))
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Hashes of doc_id as a bitmap of BITS bits, however many rows there are."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    parts = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in parts.collect():
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _having(docs: DataFrame, bitmap: np.ndarray, there: bool = True) -> DataFrame:
+    """The rows whose doc_id may be in the bitmap, or surely isn't: keeps other texts out of a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            batch = batch.select(batch.schema.names[:-1])
+            yield batch.filter(pa.array((((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 1) == there))
+
+    at = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)), F.lit(0))
+    return docs.withColumn("__at", at).mapInArrow(run, docs.schema)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, copy (its whole text stands earlier), spans (of words, end exclusive) of the documents that lose words."""
     spark = docs.sparkSession
@@ -112,6 +149,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     shards = max(partitions(spark), math.ceil(total / shard))
     most = max(256, total // (4 * shards))
     chosen = exploded.join(often, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "low", "high", "times")).alias("chosen"))
+    chosen = materialize(chosen, "chosen")
 
     def cut(batches):
         for batch in batches:
@@ -125,13 +163,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "hash", "times", "low", "words"])
 
-    segments = docs.join(chosen, "doc_id").select("doc_id", "text", "chosen").mapInArrow(cut, "doc_id long, hash long, times long, low int, words binary")
+    segments = _having(docs, _bitmap(chosen)).join(chosen, "doc_id").select("doc_id", "text", "chosen").mapInArrow(cut, "doc_id long, hash long, times long, low int, words binary")
     salts = F.ceil(F.col("times") / most).cast("long")
     segments = segments.withColumn("split", salts > 1).withColumn("shard", F.pmod(F.xxhash64("hash", F.pmod(F.xxhash64("doc_id"), salts)), F.lit(shards)).cast("long")).drop("hash", "times")
 
     def seek(key, table):
         ids, lows = table["doc_id"].to_numpy(), table["low"].to_numpy()
         order = np.lexsort((lows, ids))
+        order = order[np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(lows[order]) != 0)]]  # a document given twice counts once
         ids, lows, split = ids[order], lows[order].astype(np.int64), table["split"].to_numpy(zero_copy_only=False)[order]
         texts = table["words"].take(pa.array(order)).to_pylist()
         segment, start, inside, earlier = shard_windows(ids, lows, texts, window)
@@ -158,7 +197,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     whole = marks.filter(f"n_words >= {window}").select("doc_id", "class")
     first = whole.groupBy("class").agg(F.min("doc_id").alias("first"))
     copies = whole.join(first, "class").filter("doc_id <> first").select("doc_id", F.lit(True).alias("copy")).distinct()
-    return copies.join(spans, "doc_id", "full").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    return materialize(copies.join(spans, "doc_id", "full").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "spans"), "spans")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, **more) -> DataFrame:
@@ -185,7 +224,9 @@ def remove(docs: DataFrame, window: int = WINDOW, **more) -> DataFrame:
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(sha, pa.string())], ["doc_id", "text", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = docs.join(found, "doc_id", "left").select("doc_id", "text", "copy", "spans")
+    bitmap = _bitmap(found)
+    joined = _having(docs, bitmap).join(found, "doc_id", "left").select("doc_id", "text", "copy", "spans")
+    joined = joined.union(_having(docs, bitmap, False).select("doc_id", "text", F.lit(None).cast("boolean"), F.lit(None).cast(found.schema["spans"].dataType)))
     return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
@@ -214,5 +255,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out = out.set_column(names.index("n_chars"), batch.schema.field("n_chars"), pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type))
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    joined = docs.join(found.select("doc_id", F.col("copy").alias("__copy"), F.col("spans").alias("__spans")), "doc_id", "left").select(*names, "__copy", "__spans")
+    bitmap = _bitmap(found)
+    joined = _having(docs, bitmap).join(found.select("doc_id", F.col("copy").alias("__copy"), F.col("spans").alias("__spans")), "doc_id", "left").select(*names, "__copy", "__spans")
+    joined = joined.union(_having(docs, bitmap, False).select(*names, F.lit(None).cast("boolean"), F.lit(None).cast(found.schema["spans"].dataType)))
     return joined.mapInArrow(run, schema)
