@@ -1,4 +1,7 @@
-"""The registered queries of the feature engine and their SQL."""
+"""The registered queries of the feature engine and their SQL.
+
+Both sides round to six digits after the point. Series are the users of events.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +10,163 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import transformers
+from ..operators import features as O
+from ..operators import multiband
+from ..sources import series
+
+_E = """e as (select user_id series_id, event_type band, epoch_us(ts) / 86400000000.0 t, value::double m, 1 / power(0.1 * value::double + 1, 2) w, event_id ord from events where value is not null and ts is not null),
+s as (select series_id, count(*) n, avg(m) mu, stddev_samp(m) sd, var_samp(m) var, median(m) med, mad(m) mad, min(m) lo, max(m) hi, sum(w*m)/sum(w) wm, list_sort(list(m)) o, avg(t) tm from e group by 1),
+d as (select series_id, m, t, lag(m) over (partition by series_id order by t, ord) pm, lag(t) over (partition by series_id order by t, ord) pt from e)"""
+
+
+def _sql(columns: dict[str, str], source: str = "s") -> str:
+    return f"with {_E} select series_id, {', '.join(f'round({e}, 6) "{c}"' for c, e in columns.items())} from {source}"
+
+
+def _q(q: str) -> str:
+    h = f"(n::float * ({q})::float - 0.5::float)"
+    i = f"floor({h})::int"
+    return f"(case when {h} < 0 then o[1] when {i} >= n - 1 then o[n] else o[{i} + 1] + ({h}::double - {i}) * (o[{i} + 2] - o[{i} + 1]) end)"
+
+
+def _range(q: float) -> str:
+    return f"({_q(f'1::float - {q}::float')} - {_q(str(q))})"
+
+
+_POINTS = "(select e.*, n, mu, sd, med, wm, lo, hi, tm, mad from e join s using (series_id)) group by series_id"
+_W = "(select e.*, sum(m - mu) over (partition by e.series_id order by t, ord) c, n, sd from e join s using (series_id)) group by series_id"
+
+
+def _line(known: bool) -> str:
+    w = "w" if known else "1.0"
+    names = ("linear_fit_slope", "linear_fit_slope_sigma", "linear_fit_reduced_chi2") if known else ("linear_trend", "linear_trend_sigma", "linear_trend_noise")
+    values = ("sxy/sxx", "sqrt(1/sxx)", "chi2") if known else ("sxy/sxx", "sqrt(chi2/sxx)", "sqrt(chi2)")
+    return f"""with {_E}, x as (select series_id, t, m, {w} w from e), c as (select series_id, sum(w*t)/sum(w) ct, sum(w*m)/sum(w) cm, count(*) n from x group by 1),
+k as (select series_id, any_value(n) n, any_value(ct) ct, any_value(cm) cm, sum(w*(t-ct)^2) sxx, sum(w*(t-ct)*(m-cm)) sxy from x join c using (series_id) group by 1),
+r as (select series_id, any_value(sxx) sxx, any_value(sxy) sxy, sum(w*(m-cm-sxy/sxx*(t-ct))^2)/(any_value(n)-2) chi2 from x join k using (series_id) group by 1)
+select series_id, {', '.join(f'round({v}, 6) {n}' for n, v in zip(names, values, strict=True))} from r"""
+
+
+#: Query: features with parameters, and SQL.
+FEATURES: dict[str, tuple[list[O.Feature], str | None]] = {}
+
+
+def _add(name: str, wanted: list[O.Feature], sql: str | None) -> None:
+    FEATURES[name] = wanted, sql
+
+
+def _one(name: str, expression: str, source: str = "s", **parameters) -> None:
+    f = O.feature(name, **parameters)
+    snake = "".join("_" + c.lower() if c.isupper() else c for c in name).lstrip("_")
+    _add(f"feature_{snake}", [f], _sql({f.columns[0]: expression}, source))
+
+
+_one("Amplitude", "(hi - lo) / 2")
+_one("BeyondNStd", "avg((abs(m - mu) > sd)::int)", _POINTS)
+_one("Cusum", "(max(c) - min(c)) / (any_value(sd) * any_value(n))", _W)
+_one("Duration", "max(t) - min(t)", _POINTS)
+_one("Eta", "sum((m - pm)^2) / (count(*) - 1) / var_samp(m)", "d group by series_id")
+_one("ExcessVariance", "(var_samp(m) - avg(1 / w)) / avg(m)^2", _POINTS)
+_one("InterPercentileRange", _range(0.25))
+_one("Kurtosis", "kurtosis(m)", _POINTS)
+_one("LaflerKinmanStringLength", "(sum((m - pm)^2) + (arg_min(m, t) - arg_max(m, t))^2) / (2 * (count(*) - 1) * var_samp(m))", "d group by series_id")
+_one("MagnitudePercentageRatio", f"{_range(0.4)} / {_range(0.05)}")
+_one("MaximumTimeInterval", "max(t - pt)", "d group by series_id")
+_one("MinimumTimeInterval", "min(t - pt)", "d group by series_id")
+_one("Mean", "mu")
+_one("MeanVariance", "sd / mu")
+_one("Median", "med")
+_one("MedianAbsoluteDeviation", "mad")
+_one("MedianBufferRangePercentage", "avg((abs(m - med) < 0.1 * (hi - lo) / 2)::int)", _POINTS)
+_one("ObservationCount", "n::double")
+_one("PercentAmplitude", "greatest(hi - med, med - lo)")
+_one("PercentDifferenceMagnitudePercentile", f"{_range(0.05)} / med")
+_one("ReducedChi2", "sum(w * (m - wm)^2) / (count(*) - 1)", _POINTS)
+_one("Roms", "sum(abs(m - med) * sqrt(w)) / (count(*) - 1)", _POINTS)
+_one("Skew", "skewness(m)", _POINTS)
+_one("StandardDeviation", "sd")
+_one("StetsonK", "sum(abs(m - wm) * sqrt(w)) / sqrt(count(*) * sum(w * (m - wm)^2))", _POINTS)
+_one("TimeMean", "tm")
+_one("TimeStandardDeviation", "stddev_samp(t)", _POINTS)
+_one("WeightedMean", "wm")
+_add("feature_eta_e", [O.feature("EtaE")], f"with {_E} select series_id, round(ln(1 + (max(t) - min(t))^2 * sum(((m - pm) / nullif(t - pt, 0))^2) / var_samp(m) / (count(*) - 1)^3), 6) eta_e from d group by 1")
+_add("feature_maximum_slope", [O.feature("MaximumSlope")], f"with {_E} select series_id, round(ln(1 + max(abs((m - pm) / nullif(t - pt, 0)))), 6) maximum_slope from d group by 1")
+_add("feature_biweight_scale", [O.feature("BiweightScale")], f"with {_E}, u as (select series_id, n, (m - med)^2 d2, ((m - med) / (9 * mad))^2 u2 from e join s using (series_id)) select series_id, round(sqrt(any_value(n) * sum(d2 * (1 - u2)^4)) / abs(sum((1 - u2) * (1 - 5 * u2))), 6) biweight_scale_9 from u where u2 < 1 group by 1")
+_add("feature_linear_fit", [O.feature("LinearFit")], _line(True))
+_add("feature_linear_trend", [O.feature("LinearTrend")], _line(False))
+_add("feature_qn_scale", [O.feature("QnScale")], f"with {_E}, p as (select a.series_id, abs(a.m - b.m) x, row_number() over (partition by a.series_id order by abs(a.m - b.m)) r from e a join e b on a.series_id = b.series_id and a.ord < b.ord) select series_id, round(2.219144465985076 * x, 6) qn from p join s using (series_id) where r = (n // 2 + 1) * (n // 2) // 2")
+_add(
+    "feature_otsu_split",
+    [O.feature("OtsuSplit")],
+    f"""with {_E}, k as (select series_id, m, row_number() over v k, sum(m) over v c, count(*) over (partition by series_id) n, sum(m) over (partition by series_id) z from e window v as (partition by series_id order by m rows unbounded preceding)),
+b as (select series_id, arg_max(k, (k / n * (1 - k / n) * (c / k - (z - c) / (n - k))^2, -k)) b from k where k < n group by 1)
+select series_id, round(avg(m) filter (where k > b) - avg(m) filter (where k <= b), 6) otsu_mean_diff, round(coalesce(stddev_samp(m) filter (where k <= b), 0), 6) otsu_std_lower, round(coalesce(stddev_samp(m) filter (where k > b), 0), 6) otsu_std_upper, round(any_value(b) / any_value(n), 6) otsu_lower_to_all_ratio from k join b using (series_id) group by 1""",
+)
+for _name, _parameters in (("AndersonDarlingNormal", {}), ("Chi2Pvar", {}), ("ParabolaFit", {}), ("Periodogram", {"peaks": 2})):
+    _add("feature_" + "".join("_" + c.lower() if c.isupper() else c for c in _name).lstrip("_"), [O.feature(_name, **_parameters)], None)
+_add("feature_periodogram_direct", [O.feature("Periodogram", peaks=2, fft=False)], None)
+#: Values that range widely are compared as ln(1 + x).
+_LOG = ("eta_e", "maximum_slope")
+
+
+def _features(wanted: list[O.Feature]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = O.extract(series.pack(series.events(spark, sf_dir)), wanted)
+        return df.select("series_id", *(F.round(F.log1p(c) if c in _LOG else F.col(c), 6).alias(c) for f in wanted for c in f.columns))
+
+    return run
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("user_id").agg(F.avg("value").alias("mean"))
+    """All features in one extractor: one exchange, one projection, one Arrow pass."""
+    wanted = list({c: f for f, _ in ((w[0], s) for w, s in FEATURES.values()) for c in f.columns[:1]}.values())
+    return O.extract(series.pack(series.events(spark, sf_dir)), wanted)
+
+
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = [O.feature(n) for n in ("Mean", "StandardDeviation", "Amplitude", "ObservationCount")]
+    df = O.extract(O.binned(series.pack(series.events(spark, sf_dir)), 7.0, 0.0), wanted)
+    return df.select("series_id", *(F.round(c, 6).alias(O.bins_prefix(7.0) + c) for f in wanted for c in f.columns))
+
+
+_BINS = f"""with {_E}, b as (select series_id, floor(t / 7) k, sum(w*m)/sum(w) m from e group by 1, 2)
+select series_id, {', '.join(f'round({e}, 6) "{O.bins_prefix(7.0)}{c}"' for c, e in (("mean", "avg(m)"), ("standard_deviation", "stddev_samp(m)"), ("amplitude", "(max(m) - min(m)) / 2"), ("observation_count", "count(*)::double")))} from b group by 1"""
+
+
+def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiband.colors(series.events(spark, sf_dir), ["click", "view"])
+
+
+def color_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiband.color_spread(series.events(spark, sf_dir), ["click", "view", "purchase"])
+
+
+def per_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = multiband.per_band(series.events(spark, sf_dir), [O.feature("Mean"), O.feature("StandardDeviation")], ["view", "click"])
+    return df.select("series_id", *(F.round(c, 6).alias(c) for c in df.columns[1:]))
+
+
+def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = O.extract(series.pack(series.events(spark, sf_dir)), [O.feature("Mean"), O.feature("Skew")])
+    df = df.select("series_id", "mean", *transformers.apply("arcsinh", ["skew"]), *(c for k in ("ln1p", "lg", "sqrt", "clipped_lg", "identity") for c in transformers.apply(k, ["mean"]) if k != "identity"))
+    return df.select("series_id", *(F.round(c, 6).alias(c) for c in df.columns[1:]))
+
+
+_COLORS = f"""with {_E}, b as (select series_id, max(m) filter (band = 'click') a, max(m) filter (band = 'view') b, min(m) filter (band = 'click') c, min(m) filter (band = 'view') d, median(m) filter (band = 'click') x, median(m) filter (band = 'view') y from e group by 1)
+select series_id, round(a - b, 6) color_max_click_view, round(c - d, 6) color_min_click_view, round(x - y, 6) color_median_click_view from b"""
+_SPREAD = f"""with {_E}, b as (select series_id, band, sum(w*m)/sum(w) wm from e where band in ('click', 'view', 'purchase') group by 1, 2)
+select series_id, case when count(*) = 3 then round(stddev_pop(wm), 6) end color_spread from b group by 1"""
+_PER_BAND = f"""with {_E} select series_id, round(avg(m) filter (band = 'view'), 6) mean_view, round(avg(m) filter (band = 'click'), 6) mean_click,
+round(stddev_samp(m) filter (band = 'view'), 6) standard_deviation_view, round(stddev_samp(m) filter (band = 'click'), 6) standard_deviation_click from e group by 1 having count(*) filter (band in ('view', 'click')) > 0"""
+_TRANSFORMED = f"""with {_E} select series_id, round(avg(m), 6) mean, round(asinh(skewness(m)), 6) arcsinh_skew, round(ln(1 + avg(m)), 6) ln1p_mean, round(log10(avg(m)), 6) lg_mean, round(sqrt(avg(m)), 6) sqrt_mean, round(log10(avg(m)), 6) clipped_lg_mean from e group by 1"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {name: _features(wanted) for name, (wanted, _) in FEATURES.items()}
+    return found | {"feature_extractor": flagship, "bins": bins, "colors": colors, "color_spread": color_spread, "per_band": per_band, "transformed": transformed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: sql for name, (_, sql) in FEATURES.items() if sql}
+    return found | {"bins": _BINS, "colors": _COLORS, "color_spread": _SPREAD, "per_band": _PER_BAND, "transformed": _TRANSFORMED}
