@@ -28,7 +28,7 @@ from .partenum import WordHashes, grams
 
 WINDOW = 20
 GRAM = 6
-SHARD = 20_000
+SHARD = 10_000
 BITS = 2**24
 _NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -78,20 +78,21 @@ def shard_windows(doc_ids: np.ndarray, lows: np.ndarray, texts: list[bytes], win
 
     Returns segment and start of each window, and whether an equal one stands earlier.
     """
-    known: dict[bytes, int] = {}
-    rows = [[known.setdefault(w, len(known) + 1) for w in t.split(b" ")] for t in texts]
-    sizes = np.array([len(r) for r in rows])
-    tokens = np.zeros(int(sizes.sum()) + len(rows), np.int64)  # 0 ends a segment
+    words = b" ".join(texts).split(b" ")
+    known = {w: i for i, w in enumerate(set(words), 1)}  # any numbering will do
+    sizes = np.array([t.count(b" ") + 1 for t in texts])
+    tokens = np.zeros(len(words) + len(texts), np.int64)  # 0 ends a segment
     begin = np.cumsum(sizes + 1) - sizes - 1
-    for b, r in zip(begin, rows, strict=True):
-        tokens[b : b + len(r)] = r
+    filled = np.ones(len(tokens), bool)
+    filled[begin + sizes] = False
+    tokens[filled] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     many = sizes - window + 1
-    segment = np.repeat(np.arange(len(rows)), many)
+    segment = np.repeat(np.arange(len(texts)), many)
     inside = np.arange(len(segment)) - np.repeat(np.cumsum(many) - many, many)
     index = FMIndex(tokens, int(sizes.max(initial=window)))
     # A segment that stands earlier as a whole has only windows that do; the others' windows are sought one by one.
     # The first of equal segments is among these, so each sequence that stands more than once is met there too.
-    whole = np.zeros(len(rows), bool)
+    whole = np.zeros(len(texts), bool)
     low = index.repeated(tokens, begin, sizes)
     hit = np.flatnonzero(low >= 0)
     _, first = np.unique(np.stack([low[hit], sizes[hit]]), axis=1, return_index=True)
