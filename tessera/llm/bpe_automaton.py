@@ -4,11 +4,13 @@ It begins with one state that has an arc to itself for every byte. Each merge (u
 that u leads to is copied without its arc v, u leads to the copy from now on, and the new token uv gets an arc
 from wherever u had one, to where v leads. So a state is a copy of an earlier one less one arc, and is kept as
 just that: base, removed arc, rank. A text has one path through the automaton; it is found by stepping over the
-bytes of a pre-token and keeping, for each place, the one arc that reaches it. Decoding emits the arcs' labels.
+bytes of a pre-token with a table that gives the tokens ending at a place, longest first, and keeping the one whose
+arc leaves the state reached before it. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -19,6 +21,7 @@ from .pieces import LONGEST_KEPT, PATTERN, Odd, Vocabulary, default_path
 
 MEMO_PAIRS = 1_000_000
 MEMO_PIECES = 300_000
+MEMO_BYTES = 64
 
 
 class Automaton:
@@ -38,13 +41,7 @@ class Automaton:
             self.rank.append(r)
             self.target[u] = len(self.base) - 1
             self.target[w], self.made[w], self.left[w] = after, r, u
-        self.trie: dict = {}
-        for b, t in vocabulary.ids.items():
-            if t not in self.dead:
-                node = self.trie
-                for x in b:
-                    node = node.setdefault(x, {})
-                node[-1] = t
+        self._suffixes(vocabulary)
         self.arcs: dict[int, bool] = {}
 
     def _arc(self, state: int, token: int) -> bool:
@@ -57,33 +54,73 @@ class Automaton:
                 token = self.left[token]
         return True
 
+    def _suffixes(self, vocabulary: Vocabulary) -> None:
+        """A table over bytes whose state names the tokens that a text ends in, longest first."""
+        children, ends, parents = [{}], [None], [(0, 0)]
+        for b, t in vocabulary.ids.items():
+            if t in self.dead:
+                continue
+            node = 0
+            for x in b:
+                if x not in children[node]:
+                    children[node][x] = len(children)
+                    children.append({})
+                    ends.append(None)
+                    parents.append((node, x))
+                node = children[node][x]
+            ends[node] = (t, len(b))
+        fails, order = [0] * len(children), [0]
+        for node in order:
+            order += children[node].values()
+
+        def step(node: int, x: int) -> int:
+            while node and x not in children[node]:
+                node = fails[node]
+            return children[node].get(x, 0)
+
+        class Row(dict):
+            __slots__ = ("node",)
+
+            def __missing__(row, x: int) -> int:
+                to = step(row.node, x)
+                if len(row) < MEMO_BYTES:
+                    row[x] = to
+                return to
+
+        self.suffixes: list[tuple] = [()] * len(children)
+        self.steps = [Row() for _ in children]
+        for node in order:
+            self.steps[node].node = node
+            parent, x = parents[node]
+            if parent:
+                fails[node] = step(fails[parent], x)
+            if node:
+                self.suffixes[node] = ((ends[node],) if ends[node] else ()) + self.suffixes[fails[node]]
+
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
-        n, arcs, target = len(word), self.arcs, self.target
-        last = [-1] * (n + 1)
-        came = [0] * (n + 1)
-        last[0] = 0
-        for i in range(n):
-            if last[i] < 0:
-                continue
-            state = target[last[i]] if i else 0
-            node, j = self.trie, i
-            while j < n and (node := node.get(word[j])) is not None:
-                j += 1
-                t = node.get(-1)
-                if t is not None and last[j] < 0:
-                    key = state << 20 | t
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) >= MEMO_PAIRS:
-                            arcs.clear()
-                        ok = arcs[key] = self._arc(state, t)
-                    if ok:
-                        last[j], came[j] = t, i
-        ids, j = [], n
+        arcs, target, steps, suffixes = self.arcs, self.target, self.steps, self.suffixes
+        states, came, node = [0], [], 0
+        for j, x in enumerate(word, 1):
+            node = steps[node][x]
+            # Each prefix has one path, so the first token that an arc allows is its last.
+            for end in suffixes[node]:
+                t, size = end
+                key = states[j - size] << 20 | t
+                ok = arcs.get(key)
+                if ok is None:
+                    if len(arcs) >= MEMO_PAIRS:
+                        arcs.clear()
+                    ok = arcs[key] = self._arc(key >> 20, t)
+                if ok:
+                    break
+            states.append(target[t])
+            came.append(end)
+        ids, j = [], len(word)
         while j:
-            ids.append(last[j])
-            j = came[j]
+            t, size = came[j - 1]
+            ids.append(t)
+            j -= size
         return ids[::-1]
 
     def decode(self, ids) -> bytes:
@@ -100,19 +137,23 @@ class Coder:
 
         class Memo(dict):
             def __missing__(memo, piece):
-                if not piece or piece[0].isspace() or piece[-1].isspace():
-                    raise Odd
-                made = self.pair(self.plain(" " + piece))
+                made = self.older.get(piece)
+                if made is None:
+                    if not piece or piece[0].isspace() or piece[-1].isspace():
+                        raise Odd
+                    made = self.pair(self.plain(" " + piece))
                 if len(piece) <= LONGEST_KEPT:
                     if len(memo) >= MEMO_PIECES:
+                        self.older = dict(memo)
                         memo.clear()
                     memo[piece] = made
                 return made
 
-        self.memo = Memo()
+        self.memo, self.older = Memo(), {}  # pieces in use move on from the older generation
 
     def plain(self, text: str) -> list[int]:
-        return [i for word in self.split(text) for i in self.automaton.encode(word.encode())]
+        words = (text,) if text[1:].isalpha() and text.isascii() and text[0] == " " else self.split(text)
+        return [i for word in words for i in self.automaton.encode(word.encode())]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; special strings become their ids."""
@@ -143,6 +184,12 @@ class Coder:
         return ",".join(ids), b"".join(labels)
 
 
+@functools.lru_cache(maxsize=2)
+def coder(path: str | None) -> Coder:
+    """One automaton and memo for all tasks of a worker process."""
+    return Coder(path)
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False) -> DataFrame:
     """Digests of ids and decoded text of every row of docs; with texts, also the ids and the text themselves.
 
@@ -152,12 +199,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False)
     more = [("ids", pa.string()), ("decoded", pa.string())] if texts else []
 
     def run(batches):
-        coder = Coder(path)
+        both = coder(path).both
         sha = hashlib.sha256
         for batch in batches:
             n, a, b, full = [], [], [], []
             for text in batch.column(1):
-                ids, raw = coder.both(text.as_py() or "")
+                ids, raw = both(text.as_py() or "")
                 decoded = raw.decode("utf-8", "replace")
                 n.append(ids.count(",") + 1 if ids else 0)
                 a.append(sha(ids.encode()).hexdigest())
