@@ -31,44 +31,42 @@ QUERIES_AT_ONCE = 256
 def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
     """For each query, indices and scores of its k best rows of x, ties to the smaller id. All values are whole doubles."""
     n, dims = x.shape
+    # Whole numbers below 2**24 are exact in single precision.
+    kind = np.float32 if n and len(q) and np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * dims < 2.0**24 else np.float64
+    x, q = x.astype(kind), q.astype(kind)
     order = np.argsort(x, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
     ordered = np.take_along_axis(x, order, axis=0)
     least, most = (ordered[0], ordered[-1]) if n else (x.sum(0), x.sum(0))
+    depths = sorted({min(n, int(np.ceil(n * step))) for step in (*STEPS, 1.0)})
+    # What is known at each depth, from both ends of the lists: components read, or else the bounds of those unread.
+    known = []
+    for depth in depths[:-1]:
+        top, low = rank >= n - depth, rank < depth
+        upper = np.hstack([np.where(top, x, ordered[n - depth - 1]), np.where(low, x, ordered[depth])])
+        known.append((upper, np.hstack([np.where(top, x, least), np.where(low, x, most)])))
     for first in range(0, len(q), QUERIES_AT_ONCE):
         w, own = q[first : first + QUERIES_AT_ONCE], query_ids[first : first + QUERIES_AT_ONCE]
         results: list = [None] * len(w)
         live = np.arange(len(w))
-        seen = np.zeros((n, len(w)))
-        up, down = np.maximum(w, 0), np.minimum(w, 0)
-        depth = 0
-        for step in (*STEPS, 1.0):
-            to = max(depth, min(n, int(np.ceil(n * step))))
-            for d in range(dims):
-                top, low = slice(n - to, n - depth), slice(depth, to)
-                seen[order[top, d]] += ordered[top, d, None] * up[live, d]
-                seen[order[low, d]] += ordered[low, d, None] * down[live, d]
-            depth = to
-            unread_top, unread_low = (rank < n - depth).astype(float), (rank >= depth).astype(float)
-            if depth < n:
-                mark_top, mark_low = ordered[n - depth - 1], ordered[depth]
-                upper = seen + unread_top @ (up[live] * mark_top).T + unread_low @ (down[live] * mark_low).T
-                lower = seen + unread_top @ (up[live] * least).T + unread_low @ (down[live] * most).T
+        signed = np.hstack([np.maximum(w, 0), np.minimum(w, 0)])
+        for depth, bounds in zip(depths, [*known, None], strict=True):
+            if bounds is None:
+                upper = lower = w[live] @ x.T
             else:
-                upper = lower = seen
-            same = ids[:, None] == own[live][None, :]
+                upper, lower = (signed[live] @ b.T for b in bounds)
+            same = own[live][:, None] == ids[None, :]
             lower = np.where(same, -np.inf, lower)
-            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
-            open_ = (upper >= bar) & ~same
-            left = open_.sum(0)
-            done = (left <= max(k, FEW * n)) | (depth >= n)
+            bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(live), -np.inf)
+            open_ = (upper >= bar[:, None]) & ~same
+            done = (open_.sum(1) <= max(k, FEW * n)) | (depth >= n)
             for i in np.flatnonzero(done):
-                found = np.flatnonzero(open_[:, i])
+                found = np.flatnonzero(open_[i])
                 scores = x[found] @ w[live[i]]
                 best = np.lexsort((ids[found], -scores))[:k]
                 results[live[i]] = found[best], scores[best].astype(np.int64)
-            live, seen = live[~done], seen[:, ~done]
+            live = live[~done]
             if not len(live):
                 break
         yield from results
