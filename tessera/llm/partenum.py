@@ -8,8 +8,9 @@ similar sets share one. Signatures without features say nothing and are left out
 parts of a set: a pair that could lose by it has them on both sides.
 
 Equal sets count as one. Sets that share a signature are candidates; each bucket gives a star of edges, not pairs.
-Connected candidates are a family. Each set is compared with one neighbour; families that this leaves in more than
-one component are compared in whole, block by block, between components. So no link is lost and nobody gathers a group.
+Connected candidates are a family. Each set is compared with one neighbour. A family that this leaves in more than
+one component is, if larger than a block, first divided by its sets' rarest features, then compared in whole, block by
+block, between components. So no link is lost and nobody gathers a group.
 
 Words are split at ASCII white space after A-Z are lower-cased. A text of fewer words than a shingle is one shingle;
 one without words has none and links with nothing, itself its component. Rows with a null doc_id are left out. Rows
@@ -254,6 +255,31 @@ def _block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], lef
     return links
 
 
+def _finer(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """a, b: stars over the members (id, family) of a family that share a feature among their rarest.
+
+    With features ordered by how often they stand, similar sets share one of the first |set| - ceil(over / under * |set|) + 1
+    of each: so no link is lost. Features that stand once fill first places and lead nowhere.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            features = [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            for part in np.array_split(np.arange(len(features)), max(1, len(features) // 256)):
+                sizes = np.array([len(features[i]) for i in part], np.int64)
+                at = np.repeat(part, sizes)
+                yield pa.record_batch([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([features[i] for i in part]) if len(part) else np.zeros(0, np.int64))], ["id", "family", "n", "feature"])
+
+    rows = materialize(members.select("id", "family").join(sets.withColumnRenamed("class", "id"), "id").select("id", "family", "features").mapInArrow(spread, "id long, family long, n long, feature long"), "features")
+    often = rows.groupBy("feature").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = rows.join(often, "feature").groupBy("id", "family", "n").agg(F.array_sort(F.collect_list(F.struct("times", "feature"))).alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * over / under) + 1 - (F.col("n") - F.size("shared"))
+    first = shared.select("id", "family", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("f")).select("id", "family", "f.feature")
+    first = materialize(first, "rarest")
+    heads = first.groupBy("family", "feature").agg(F.min("id").alias("a"), F.count("*").alias("times")).filter("times > 1")
+    return first.join(heads, ["family", "feature"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def _rest(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
     """Links between components of one family; members: id, family, comp, size (of the family)."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
@@ -305,7 +331,17 @@ def join(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     comps = components(links)
     members = components(edges).withColumnRenamed("root", "family").join(comps.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     members = materialize(members, "members")
-    mixed = members.groupBy("family").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("family", "size")
+
+    def mixed_of(members: DataFrame) -> DataFrame:
+        return members.groupBy("family").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("family", "size")
+
+    mixed = mixed_of(members)
+    large = materialize(mixed.filter(F.col("size") > BLOCK).select("family", F.lit(True).alias("large")), "large")
+    if not large.isEmpty():
+        finer = components(_finer(members.join(large, "family"), sets, over, under))
+        members = members.join(large, "family", "left").join(finer, "id", "left")
+        members = materialize(members.select("id", "comp", F.when(F.col("large"), F.coalesce("root", "id")).otherwise(F.col("family")).alias("family")), "members")
+        mixed = mixed_of(members)
     rest = materialize(_rest(members.join(mixed, "family"), sets, over, under), "links")
     comps = components(links.union(rest)) if not rest.isEmpty() else comps
     groups = reps.join(comps.withColumnRenamed("id", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))

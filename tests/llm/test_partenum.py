@@ -66,6 +66,17 @@ def test_join_is_exact(spark, n, over, under):
     assert got == brute(rows, n, over, under)
 
 
+@pytest.mark.parametrize(("over", "block"), [(80, 8), (90, 3)])
+def test_large_families_are_divided(spark, monkeypatch, over, block):
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    called = []
+    finer = partenum._finer
+    monkeypatch.setattr(partenum, "_finer", lambda *a: called.append(1) or finer(*a))
+    rows = families(11, 260)
+    got = sorted(map(tuple, partenum.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, over, 100).collect()))
+    assert got == brute(rows, 3, over, 100) and called
+
+
 def test_join_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
