@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, release
 from .components import components
 
 GROWTH = 1.5
@@ -264,15 +264,17 @@ def _finer(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFr
 
     def spread(batches):
         for batch in batches:
-            features = [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            features = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
             for part in np.array_split(np.arange(len(features)), max(1, len(features) // 256)):
                 sizes = np.array([len(features[i]) for i in part], np.int64)
-                at = np.repeat(part, sizes)
-                yield pa.record_batch([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([features[i] for i in part]) if len(part) else np.zeros(0, np.int64))], ["id", "family", "n", "feature"])
+                yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(part, sizes))), pa.array(np.concatenate([features[i] for i in part]) if len(part) else np.zeros(0, np.int64))], ["id", "feature"])
 
-    rows = materialize(members.select("id", "family").join(sets.withColumnRenamed("class", "id"), "id").select("id", "family", "features").mapInArrow(spread, "id long, family long, n long, feature long"), "features")
+    held = members.select("id", "family").join(sets.withColumnRenamed("class", "id"), "id")
+    # What is dealt by feature holds no more than the feature and the set; family and size join again later.
+    rows = materialize(held.select("id", "features").mapInArrow(spread, "id long, feature long"), "features")
+    sizes = held.select("id", "family", (F.octet_length("features") / 8).cast("long").alias("n"))
     often = rows.groupBy("feature").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = rows.join(often, "feature").groupBy("id", "family", "n").agg(F.array_sort(F.collect_list(F.struct("times", "feature"))).alias("shared"))
+    shared = rows.join(often, "feature").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "feature"))).alias("shared")).join(sizes, "id")
     first = F.col("n") - F.ceil(F.col("n") * over / under) + 1 - (F.col("n") - F.size("shared"))
     first = shared.select("id", "family", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("f")).select("id", "family", "f.feature")
     first = materialize(first, "rarest")
@@ -312,6 +314,7 @@ def join(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(partitions(spark), math.ceil(total / PER_PART))
     edges = materialize(candidate_edges(docs, words, over, under, parts), "candidates")
+    release(spark)
     reps = materialize(known.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
     wanted = edges.select(F.col("a").alias("class")).union(edges.select("b")).distinct().join(reps, "class")
     wanted = wanted.select("class", "doc_id")
@@ -325,9 +328,12 @@ def join(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
 
     sets = docs.join(wanted, "doc_id").select("text", "class").mapInArrow(build, "class long, features binary")
     sets = materialize(sets.dropDuplicates(["class"]), "sets")
+    release(spark)
     one = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # every set and one that it shares a signature with
     pairs = one.join(sets.select(F.col("class").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("features").alias("y")), "b")
     links = materialize(_verify(pairs, over, under), "links")
+    del pairs
+    release(spark)
     comps = components(links)
     members = components(edges).withColumnRenamed("root", "family").join(comps.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     members = materialize(members, "members")
