@@ -217,34 +217,64 @@ def register_feature(name: str, make: Callable[..., Feature]) -> None:
     FEATURES[name] = make
 
 
-def _kernels(df: DataFrame, wanted: list[Feature], keep: list[str]) -> DataFrame:
+def lacks(f: Feature, m: np.ndarray) -> str | None:
+    """Why a series can't have the feature: short or flat."""
+    if len(m) < f.least:
+        return "short"
+    return "flat" if "v" in f.needs and not (m != m[0]).any() else None
+
+
+def evaluate(f: Feature, t: np.ndarray, m: np.ndarray, w: np.ndarray) -> list:
+    """The feature's values; null where the series can't have them."""
+    gone: list = [None] * len(f.columns)
+    if lacks(f, m):
+        return gone
+    try:
+        found = list(f.kernel(t, m, w))
+    except (ArithmeticError, np.linalg.LinAlgError, ValueError):
+        return gone
+    return [v if v is not None and np.isfinite(v) else None for v in found]
+
+
+def _strict(wanted: list[Feature], values: list, m: np.ndarray) -> tuple[list, str | None]:
+    """All values or none, and what failed. Length and variability are checked for all features at once."""
+    least, flat = max((f.least for f in wanted), default=0), any("v" in f.needs for f in wanted)
+    error = "short" if len(m) < least else "flat" if flat and len(m) and not (m != m[0]).any() else None
+    if error is None and any(v is None for v in values):
+        error = "no value: " + [c for f in wanted for c in f.columns][[v is None for v in values].index(True)]
+    return ([None] * len(values) if error else values), error
+
+
+def _kernels(df: DataFrame, wanted: list[Feature], keep: list[str], strict: bool, fill: float | None) -> DataFrame:
     columns = [c for f in wanted for c in f.columns]
 
     def run(batches):
         for batch in batches:
             t, m, w = (batch.column(c).to_pylist() for c in ("t", "m", "w"))
             out: list[list] = [[] for _ in columns]
+            errors = []
             for series in zip(t, m, w, strict=True):
                 a, b, c = (np.array(x, float) for x in series)
-                values: list = []
-                for f in wanted:
-                    ok = len(b) >= f.least and ("v" not in f.needs or (b != b[0]).any())
-                    try:
-                        values += f.kernel(a, b, c) if ok else [None] * len(f.columns)
-                    except (ArithmeticError, np.linalg.LinAlgError, ValueError):
-                        values += [None] * len(f.columns)
+                values = [v for f in wanted for v in evaluate(f, a, b, c)]
+                if strict:
+                    values, error = _strict(wanted, values, b)
+                    errors.append(error)
                 for column, v in zip(out, values, strict=True):
-                    column.append(float(v) if v is not None and np.isfinite(v) else None)
-            yield pa.record_batch([*(batch.column(k) for k in keep), *(pa.array(c, pa.float64()) for c in out)], [*keep, *columns])
+                    column.append(float(v) if v is not None else fill)
+            more = [pa.array(errors, pa.string())] if strict else []
+            yield pa.record_batch([*(batch.column(k) for k in keep), *(pa.array(c, pa.float64()) for c in out), *more], [*keep, *columns, *(["error"] if strict else [])])
 
     kept = df.select(*keep, *(c for c in "tmw" if c not in keep))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), *(f"`{c}` double" for c in columns)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), *(f"`{c}` double" for c in columns), *(["error string"] if strict else [])])
     return kept.mapInArrow(run, schema)
 
 
-def extract(packed: DataFrame, wanted: list[Feature], keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """keys and the columns of all wanted features, in one Arrow pass over the packed rows; no exchange."""
-    return _kernels(packed, wanted, list(keys))
+def extract(packed: DataFrame, wanted: list[Feature], keys: tuple[str, ...] = ("series_id",), strict: bool = False, fill: float | None = None) -> DataFrame:
+    """keys and the columns of all wanted features, in one Arrow pass over the packed rows; no exchange.
+
+    A feature that a series can't have is fill (null). strict: then all features of that series are, and error says why.
+    """
+    return _kernels(packed, wanted, list(keys), strict, fill)
 
 
 def binned(packed: DataFrame, window: float = 1.0, offset: float = 0.0) -> DataFrame:

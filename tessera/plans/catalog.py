@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import transformers
+from ..functions import fits, transformers
+from ..operators import bands, multiband
 from ..operators import features as O
-from ..operators import multiband
 from ..sources import series
 
 _E = """e as (select user_id series_id, event_type band, epoch_us(ts) / 86400000000.0 t, value::double m, 1 / power(0.1 * value::double + 1, 2) w, event_id ord from events where value is not null and ts is not null),
@@ -106,6 +106,11 @@ select series_id, round(avg(m) filter (where k > b) - avg(m) filter (where k <=
 for _name, _parameters in (("AndersonDarlingNormal", {}), ("Chi2Pvar", {}), ("ParabolaFit", {}), ("Periodogram", {"peaks": 2})):
     _add("feature_" + "".join("_" + c.lower() if c.isupper() else c for c in _name).lstrip("_"), [O.feature(_name, **_parameters)], None)
 _add("feature_periodogram_direct", [O.feature("Periodogram", peaks=2, fft=False)], None)
+for _name in ("BazinFit", "LinexpFit", "VillarFit"):
+    _add("feature_" + _name.removesuffix("Fit").lower() + "_fit", [O.feature(_name, solver=fits.LevenbergMarquardt(20, bounded=True))], None)
+_add("feature_bootstrap", [O.feature("Bootstrap", features=[O.feature("Mean"), O.feature("Median")])], None)
+_add("feature_periodogram_meta", [O.feature("Periodogram", spectrum=[O.feature("Skew"), O.feature("StandardDeviation")], phase=[O.feature("Eta"), O.feature("Amplitude")])], None)
+_add("feature_transformed", [O.feature("Transformed", of=O.feature("StandardDeviation"), kind="lg")], _sql({"lg_standard_deviation": "log10(sd)"}))
 #: Values that range widely are compared as ln(1 + x).
 _LOG = ("eta_e", "maximum_slope")
 
@@ -153,6 +158,39 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("series_id", *(F.round(c, 6).alias(c) for c in df.columns[1:]))
 
 
+_BANDS = ("click", "view")
+
+
+def strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of each series; those of fewer than eight points have no features."""
+    packed = series.pack(series.events(spark, sf_dir), "series_id", "band")
+    wanted = [O.feature("Mean"), O.Feature("Long", (), 8, lambda t, m, w: [])]
+    df = O.extract(packed, wanted, ("series_id", "band"), strict=True)
+    return df.select("series_id", "band", F.round("mean", 6).alias("mean"), "error")
+
+
+_STRICT = f"""with {_E} select series_id, band, case when count(*) >= 8 then round(avg(m), 6) end mean, case when count(*) < 8 then 'short' end error from e group by 1, 2"""
+
+
+def _banded(*wanted: bands.BandFeature):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = bands.extract_bands(series.events(spark, sf_dir), list(wanted))
+        return df.select("series_id", *(F.round(F.col(f"`{c}`"), 6).alias(c) for c in df.columns[1:]))
+
+    return run
+
+
+multi_extractor = _banded(*(bands.color(k, _BANDS) for k in ("max", "min", "median")), bands.color_spread(_BANDS), bands.per_band(O.feature("Mean"), _BANDS))
+multi_bins = _banded(bands.multi_bins([bands.color(k, _BANDS) for k in ("max", "min", "median")], 7.0, 0.0))
+multi_periodogram = _banded(bands.multi_periodogram(_BANDS, 2, "count"), bands.BandFeature("Chi2", ("chi2_period", "chi2_period_s_to_n"), _BANDS, bands.multi_periodogram(_BANDS, 1, "chi2", fft=False).kernel))
+multi_bootstrap = _banded(bands.multi_bootstrap([bands.color("median", _BANDS)], scheme="rejection"))
+_MULTI = f"""with {_E}, b as (select series_id, band, max(m) hi, min(m) lo, median(m) med, avg(m) mu, sum(w*m)/sum(w) wm from e where band in ('click', 'view') group by 1, 2),
+j as (select series_id, c, v from (select distinct series_id from e) left join (select series_id, b c from b where band = 'click') using (series_id) left join (select series_id, b v from b where band = 'view') using (series_id))
+select series_id, round(c.hi - v.hi, 6) color_max_click_view, round(c.lo - v.lo, 6) color_min_click_view, round(c.med - v.med, 6) color_median_click_view,
+case when c.wm is not null and v.wm is not null then round(abs(c.wm - v.wm) / 2, 6) end color_spread, round(c.mu, 6) mean_click, round(v.mu, 6) mean_view from j"""
+_MULTI_BINS = f"""with {_E}, k as (select series_id, band, floor(t / 7) k, sum(w*m)/sum(w) m from e group by 1, 2, 3),
+b as (select series_id, max(m) filter (band = 'click') a, max(m) filter (band = 'view') b, min(m) filter (band = 'click') c, min(m) filter (band = 'view') d, median(m) filter (band = 'click') x, median(m) filter (band = 'view') y from k group by 1)
+select series_id, round(a - b, 6) "{O.bins_prefix(7.0)}color_max_click_view", round(c - d, 6) "{O.bins_prefix(7.0)}color_min_click_view", round(x - y, 6) "{O.bins_prefix(7.0)}color_median_click_view" from b"""
 _COLORS = f"""with {_E}, b as (select series_id, max(m) filter (band = 'click') a, max(m) filter (band = 'view') b, min(m) filter (band = 'click') c, min(m) filter (band = 'view') d, median(m) filter (band = 'click') x, median(m) filter (band = 'view') y from e group by 1)
 select series_id, round(a - b, 6) color_max_click_view, round(c - d, 6) color_min_click_view, round(x - y, 6) color_median_click_view from b"""
 _SPREAD = f"""with {_E}, b as (select series_id, band, sum(w*m)/sum(w) wm from e where band in ('click', 'view', 'purchase') group by 1, 2)
@@ -164,9 +202,9 @@ _TRANSFORMED = f"""with {_E} select series_id, round(avg(m), 6) mean, round(asin
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _features(wanted) for name, (wanted, _) in FEATURES.items()}
-    return found | {"feature_extractor": flagship, "bins": bins, "colors": colors, "color_spread": color_spread, "per_band": per_band, "transformed": transformed}
+    return found | {"feature_extractor": flagship, "bins": bins, "colors": colors, "color_spread": color_spread, "per_band": per_band, "transformed": transformed, "strict": strict, "multi_extractor": multi_extractor, "multi_bins": multi_bins, "multi_periodogram": multi_periodogram, "multi_bootstrap": multi_bootstrap}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: sql for name, (_, sql) in FEATURES.items() if sql}
-    return found | {"bins": _BINS, "colors": _COLORS, "color_spread": _SPREAD, "per_band": _PER_BAND, "transformed": _TRANSFORMED}
+    return found | {"bins": _BINS, "colors": _COLORS, "color_spread": _SPREAD, "per_band": _PER_BAND, "transformed": _TRANSFORMED, "strict": _STRICT, "multi_extractor": _MULTI, "multi_bins": _MULTI_BINS}

@@ -15,6 +15,10 @@ def db():
     return c
 
 
+def ordered(rows):
+    return sorted(rows, key=lambda r: [(x is None, 0 if x is None else x) for x in r])
+
+
 def same(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6))
 
@@ -23,10 +27,10 @@ def same(a, b):
 def test_query(spark, db, name):
     df = catalog.queries()[name](spark, SF)
     names = sorted(df.columns)
-    got = sorted(tuple(r[n] for n in names) for r in df.collect())
+    got = ordered(tuple(r[n] for n in names) for r in df.collect())
     assert got
     if sql := catalog.oracle_sql().get(name):
-        want = sorted(db.sql(f"select {', '.join(f'\"{n}\"' for n in names)} from ({sql})").fetchall())
+        want = ordered(db.sql(f"select {', '.join(f'\"{n}\"' for n in names)} from ({sql})").fetchall())
         assert len(got) == len(want)
         for g, w in zip(got, want):
             assert all(map(same, g, w)), (names, g, w)
