@@ -5,6 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The lowest k bits, for each k.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+#: Patterns sought in step: their intervals stay in a processor's cache.
+STEP = 8192
+
+
 class Bits:
     """A packed bit row with ranks: one count for each 64 bits."""
 
@@ -13,15 +19,14 @@ class Bits:
         packed = np.packbits(bits, bitorder="little")
         self.words = np.zeros(n // 64 + 1, np.uint64)
         self.words.view(np.uint8)[: len(packed)] = packed
-        self.before = np.zeros(len(self.words), np.int32)
+        self.before = np.zeros(len(self.words), np.int64)
         np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
         self.zeros = n - int(bits.sum())
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """How many ones stand before i."""
         at = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at] + np.bitwise_count(self.words[at] & mask).astype(np.int64)
+        return self.before[at] + np.bitwise_count(self.words[at] & _BELOW[i & 63])
 
 
 class FMIndex:
@@ -30,17 +35,19 @@ class FMIndex:
     def __init__(self, tokens: np.ndarray, depth: int) -> None:
         n = len(tokens)
         self.n = n
-        rank, length = tokens.astype(np.int64), 1
+        rank, length = tokens.astype(np.int64), 1  # a copy
+        order = np.argsort(rank)
         while length < depth:
             later = np.full(n, -1, np.int64)
             later[: n - length] = rank[length:]
             key = rank * (n + 2) + later + 1
-            order = np.argsort(key, kind="stable")
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]]) if n else 0
-            rank, length = new, length * 2
-        suffixes = np.argsort(rank, kind="stable")
-        last = tokens[suffixes - 1].astype(np.int64)  # before the first suffix stands the last token
+            order = np.argsort(key)  # equal keys may come in any order
+            held = key[order]
+            rank[order] = np.cumsum(np.r_[False, held[1:] != held[:-1]]) if n else 0
+            length *= 2
+            if n and rank[order[-1]] == n - 1:
+                break  # all suffixes differ by now
+        last = tokens[order - 1].astype(np.int64)  # before the first suffix stands the last token
         self.sigma = int(tokens.max(initial=0)) + 1
         self.bits_of = max(1, int(self.sigma - 1).bit_length())
         self.counts = np.bincount(tokens, minlength=self.sigma)
@@ -72,6 +79,8 @@ class FMIndex:
         Reads backwards from each pattern's end and gives a pattern up once its matching statistic ends short of its length.
         """
         lengths = np.broadcast_to(lengths, starts.shape)
+        if len(starts) > STEP:
+            return np.concatenate([self.repeated(tokens, starts[i : i + STEP], lengths[i : i + STEP]) for i in range(0, len(starts), STEP)])
         out = np.full(len(starts), -1, np.int64)
         ends = starts + lengths
         live = np.arange(len(starts))

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +39,41 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def anchors(words: list[bytes], memo: WordHashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of anchors, and the first and last start of the windows that have them."""
-    if len(words) < window:
-        return _NONE
-    g = grams(memo.of(words), gram)
-    wide = window - gram + 1
-    at = np.concatenate([np.lib.stride_tricks.sliding_window_view(g[i : i + 65_536 + wide - 1], wide).argmin(1) + np.arange(i, min(i + 65_536, len(g) - wide + 1)) for i in range(0, len(g) - wide + 1, 65_536)])
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return g[at[first]], first, np.r_[first[1:] - 1, len(at) - 1]
+def _leftmost_least(g: np.ndarray, wide: int) -> np.ndarray:
+    """For each run of wide values, the place of the first least one; runs double until they are wide enough."""
+    v, p, span = g, np.arange(len(g)), 1
+    while span < wide:
+        by = min(span, wide - span)
+        right = v[by:] < v[:-by]
+        v, p, span = np.where(right, v[by:], v[:-by]), np.where(right, p[by:], p[:-by]), span + by
+    return p
+
+
+def anchors(texts: list[list[bytes]], memo: WordHashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of anchors, the first and last start of the windows that have them, and how many each text has."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    total = int(sizes.sum())
+    if total < window:
+        return *_NONE, np.zeros(len(texts), np.int64)
+    g = grams(np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.uint64, total), gram)
+    at = _leftmost_least(g, window - gram + 1)
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
+    start = np.flatnonzero(np.arange(len(at)) + window <= ends[text])  # windows of one text
+    at, text = at[start], text[start]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    place = start - (ends - sizes)[text]
+    last = np.r_[first[1:] - 1, len(at) - 1][: len(first)]
+    return g[at[first]], place[first], place[last], np.bincount(text[first], minlength=len(texts))
+
+
+def _slices(batch: pa.RecordBatch, column: int, size: int = 2**20):
+    """A batch cut so that a slice's texts are not much longer than size bytes together."""
+    text = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    part = np.cumsum(text + 64) // size
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+    for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=False):
+        yield batch.slice(int(a), int(b - a))
 
 
 def _marks(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -53,20 +81,19 @@ def _marks(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         memo, seen = WordHashes(), {}
-        for batch in batches:
-            n, classes, found = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
+            n, classes, wanted = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
                 c = xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
                 n.append(len(words))
                 classes.append(c)
-                if doc_id < seen.get(c, doc_id + 1):
+                fresh = doc_id < seen.get(c, doc_id + 1)
+                if fresh:
                     seen[c] = doc_id
-                    found.append(anchors(words, memo, window, gram))
-                else:
-                    found.append(_NONE)
-            ends = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
-            h, a, b = (np.concatenate(c) if c else np.zeros(0) for c in zip(*found, strict=True)) if found else _NONE
+                wanted.append(words if fresh and len(words) >= window else [])
+            h, a, b, many = anchors(wanted, memo, window, gram)
+            ends = np.r_[0, np.cumsum(many)].astype(np.int32)
             rows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["hash", "low", "high"])
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), rows)], ["doc_id", "n_words", "class", "anchors"])
 
@@ -108,12 +135,12 @@ def shard_windows(doc_ids: np.ndarray, lows: np.ndarray, texts: list[bytes], win
     return segment, lows[segment] + inside, inside, earlier
 
 
-def _runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Spans of words that windows with these ascending starts cover."""
+def _runs(ids: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, first and end of the spans of words that windows with these starts cover; starts ascend in each id."""
     if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > window)
-    return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + window).tolist(), strict=True))
+        return ids, starts, starts
+    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (np.diff(starts) > window)])
+    return ids[first], starts[first], starts[np.r_[first[1:] - 1, len(starts) - 1]] + window
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -153,16 +180,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     chosen = materialize(chosen, "chosen")
 
     def cut(batches):
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                rows = []
-                for doc_id, text, chosen in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = words_of(text)
-                    for a in chosen:
-                        rows.append((doc_id, a["hash"], a["times"], a["low"], b" ".join(words[a["low"] : a["high"] + window])))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "hash", "times", "low", "words"])
+        for batch in (part for whole in batches for part in _slices(whole, 1, 2**18)):
+            chosen = batch.column(2)
+            many = pc.list_value_length(chosen).to_numpy()
+            hashes, lows, highs, times = (chosen.flatten().field(c) for c in ("hash", "low", "high", "times"))
+            a, b, pieces, at = lows.to_pylist(), (highs.to_numpy() + window).tolist(), [], 0
+            for text, k in zip(batch.column(1).to_pylist(), many.tolist(), strict=True):
+                words = words_of(text)
+                pieces += [b" ".join(words[x:y]) for x, y in zip(a[at : at + k], b[at : at + k], strict=True)]
+                at += k
+            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), hashes, times, lows, pa.array(pieces, pa.binary())], ["doc_id", "hash", "times", "low", "words"])
 
     segments = _having(docs, _bitmap(chosen)).join(chosen, "doc_id").select("doc_id", "text", "chosen").mapInArrow(cut, "doc_id long, hash long, times long, low int, words binary")
     salts = F.ceil(F.col("times") / most).cast("long")
@@ -175,20 +202,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         ids, lows, split = ids[order], lows[order].astype(np.int64), table["split"].to_numpy(zero_copy_only=False)[order]
         texts = table["words"].take(pa.array(order)).to_pylist()
         segment, start, inside, earlier = shard_windows(ids, lows, texts, window)
-        rows = []
-        hits, hit_ids = start[earlier], ids[segment[earlier]]
-        edge = np.flatnonzero(np.r_[True, hit_ids[1:] != hit_ids[:-1]]) if len(hits) else np.zeros(0, int)
-        for a, b in zip(edge, np.r_[edge[1:], len(hits)], strict=True):
-            rows += [(int(hit_ids[a]), x, y, None) for x, y in _runs(hits[a:b], window)]
+        gone, low, high = _runs(ids[segment[earlier]], start[earlier], window)
         open_ = np.flatnonzero(~earlier & split[segment])
-        cuts: dict[int, list[bytes]] = {}
-        for i in open_:
-            s, k = int(segment[i]), int(inside[i])
-            if s not in cuts:
-                cuts = {s: texts[s].split(b" ")}
-            rows.append((int(ids[s]), int(start[i]), None, xxhash.xxh3_128_digest(b" ".join(cuts[s][k : k + window]))))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "low", "high", "key"])
+        keys, now, words = [], -1, []
+        for s, k in zip(segment[open_].tolist(), inside[open_].tolist(), strict=True):
+            if s != now:
+                now, words = s, texts[s].split(b" ")
+            keys.append(xxhash.xxh3_128_digest(b" ".join(words[k : k + window])))
+        names, types = ["doc_id", "low", "high", "key"], (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        spans = pa.table([pa.array(c, t) for c, t in zip((gone, low, high, [None] * len(gone)), types, strict=True)], names)
+        left = pa.table([pa.array(c, t) for c, t in zip((ids[segment[open_]], start[open_], [None] * len(open_), keys), types, strict=True)], names)
+        return pa.concat_tables([spans, left])
 
     found = materialize(segments.groupBy("shard").applyInArrow(seek, "doc_id long, low int, high int, key binary"), "windows")
     firsts = found.filter("key is not null")
@@ -207,7 +231,7 @@ def remove(docs: DataFrame, window: int = WINDOW, **more) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             n, gone, kept, sha = [], [], [], []
             for text, copy, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 words = words_of(text)
@@ -237,7 +261,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema, names = docs.schema, docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, names.index("text"))):
             texts, keep = [], []
             for text, copy, spans in zip(*(batch.column(name).to_pylist() for name in ("text", "__copy", "__spans")), strict=True):
                 if copy or spans:
