@@ -103,32 +103,29 @@ def _marks(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def shard_windows(doc_ids: np.ndarray, lows: np.ndarray, texts: list[bytes], window: int):
     """Windows of a shard's segments that stand earlier in the shard. Segments come in order of doc_id and place.
 
-    Returns segment and start of each window, and whether an equal one stands earlier.
+    The index holds each sequence of words once: the windows of its further segments stand earlier with it, those of
+    its first are sought. Returns segment and start of each window, and whether an equal one stands earlier.
     """
-    words = b" ".join(texts).split(b" ")
-    known = {w: i for i, w in enumerate(set(words), 1)}  # any numbering will do
+    met: dict[bytes, int] = {}
+    fresh = np.array([met.setdefault(t, i) for i, t in enumerate(texts)], np.int64) == np.arange(len(texts))
     sizes = np.array([t.count(b" ") + 1 for t in texts])
-    tokens = np.zeros(len(words) + len(texts), np.int64)  # 0 ends a segment
-    begin = np.cumsum(sizes + 1) - sizes - 1
+    words = b" ".join(met).split(b" ")
+    known = {w: i for i, w in enumerate(set(words), 1)}  # any numbering will do
+    once = sizes[fresh]
+    tokens = np.zeros(len(words) + len(once), np.int64)  # 0 ends a segment
+    begin = np.zeros(len(texts), np.int64)
+    begin[fresh] = np.cumsum(once + 1) - once - 1
     filled = np.ones(len(tokens), bool)
-    filled[begin + sizes] = False
+    filled[begin[fresh] + once] = False
     tokens[filled] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     many = sizes - window + 1
     segment = np.repeat(np.arange(len(texts)), many)
     inside = np.arange(len(segment)) - np.repeat(np.cumsum(many) - many, many)
-    index = FMIndex(tokens, int(sizes.max(initial=window)))
-    # A segment that stands earlier as a whole has only windows that do; the others' windows are sought one by one.
-    # The first of equal segments is among these, so each sequence that stands more than once is met there too.
-    whole = np.zeros(len(texts), bool)
-    low = index.repeated(tokens, begin, sizes)
-    hit = np.flatnonzero(low >= 0)
-    _, first = np.unique(np.stack([low[hit], sizes[hit]]), axis=1, return_index=True)
-    whole[hit] = True
-    whole[hit[first]] = False
-    earlier = whole[segment]
-    single = np.flatnonzero(~earlier)
-    low = index.repeated(tokens, begin[segment[single]] + inside[single], window)
-    hit = single[low >= 0]
+    index = FMIndex(tokens, window)
+    earlier = ~fresh[segment]
+    sought = np.flatnonzero(~earlier)
+    low = index.repeated(tokens, begin[segment[sought]] + inside[sought], window)
+    hit = sought[low >= 0]
     _, first = np.unique(low[low >= 0], return_index=True)
     earlier[hit] = True
     earlier[hit[first]] = False
