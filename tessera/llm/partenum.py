@@ -35,7 +35,7 @@ GROWTH = 1.5
 K2, N2 = 1, 3
 SUBSETS = list(combinations(range(N2), N2 - K2))
 BLOCK = 256
-MEMO = 400_000
+MEMO = 100_000
 PER_PART = 2_000_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
