@@ -36,7 +36,12 @@ _DIGIT = re.compile(r"[0-9]")
 _WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])")
 _WIDE_CARD = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,7}(?![0-9A-Za-z])")
 _WIDE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[(\[{] ?at ?[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[{] ?dot ?[)\]}]|\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.I)
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?([^\s\"',;]{6,200})", re.I)
+# A quoted value, also one with blanks, goes to its closing quote; another, or one whose quote doesn't close, to the next blank, quote, comma or semicolon.
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ ]?[=:][ ]?"
+    r"(?:\"((?:[^\"\\\n]|\\.){6,}+)\"(?![A-Za-z0-9])|'((?:[^'\\\n]|\\.){6,}+)'(?![A-Za-z0-9])|[\"']?([^\s\"',;]{6,}))",
+    re.I,
+)
 #: Fixed lists: words around spans, by kind, and endings of domains.
 CONTEXT = {
     "email": ("mail", "contact", "correo", "courriel", "kontakt", "write to"),
@@ -99,7 +104,7 @@ def wide_spans(text: str) -> list[tuple[int, int, int]]:
     if "=" in text or ":" in text:
         low = text.lower() if low is None else low
         if any(w in low for w in ("password", "passwd", "pwd", "secret", "token", "key")):
-            found += [(4, *m.span(1)) for m in _SECRET.finditer(text)]
+            found += [(4, *m.span(m.lastindex)) for m in _SECRET.finditer(text)]
     return found
 
 
@@ -107,6 +112,13 @@ def _overlaps(span, taken) -> bool:
     return any(span[1] > s and span[0] < e for s, e in taken)
 
 
+def _encloses(span, taken) -> bool:
+    """Whether all spans that overlap it lie within, and leave as much of it as a secret has at least."""
+    inner = [(s, e) for s, e in taken if span[1] > s and span[0] < e]
+    rest = set(range(*span)).difference(*(range(s, e) for s, e in inner))
+    return len(rest) >= 6 and all(span[0] <= s and e <= span[1] for s, e in inner)
+
+
 def votes(text: str, kind: int, start: int, end: int, is_base: bool) -> tuple[int, ...]:
     """What each labeler says: 1 for, -1 against, 0 nothing."""
     s = text[start:end]
@@ -129,21 +141,21 @@ def votes(text: str, kind: int, start: int, end: int, is_base: bool) -> tuple[in
         gazetteer = 1 if area and area[0] in "23456789" else -1
         shape = 1 if re.search(r"[() -]", s) else -1
     else:
-        kinds = bool(re.search("[a-z]", s, re.I)) + bool(digits) + bool(re.search(r"[^A-Za-z0-9]", s))
+        kinds = bool(re.search("[a-z]", s, re.I)) + bool(digits) + bool(re.search(r"[^A-Za-z0-9\s]", s))
         gazetteer = -1 if s.lower() in ("required", "password", "username", "example", "string", "optional") else 0
         shape = 1 if kinds >= 2 and len(s) >= 8 else -1
     return pattern, gazetteer, shape, context, others
 
 
 def candidates(text: str):
-    """kind, start, end, is_base, votes; base spans first, others where no base span is."""
+    """kind, start, end, is_base, votes; base spans first, others where no span is yet; secrets may also enclose spans."""
     base = base_spans(text)
     taken = [span for spans in base for span in spans]
     for kind, spans in enumerate(base):
         for a, b in spans:
             yield kind, a, b, True, votes(text, kind, a, b, True)
     for kind, a, b in wide_spans(text):
-        if not _overlaps((a, b), taken):
+        if not _overlaps((a, b), taken) or (kind == 4 and _encloses((a, b), taken)):
             taken.append((a, b))
             yield kind, a, b, False, votes(text, kind, a, b, False)
 

@@ -53,6 +53,30 @@ def test_method_adds_spans_and_masks(spark):
     assert masked[98].text == "clean text" and masked[99].text is None
 
 
+def test_quoted_and_long_secrets(spark):
+    secrets = {
+        0: ('token = "%s" tail', "b7db7aa4a5fcc783059233a8ecf7c5b09fe59497"),
+        1: ("TOKEN='%s'; tail", "B7DB7AA4A5FCC78305"),
+        2: ('{"api_key": "%s", "n": 1}', "b7db7aa4,a5fc;c783 05"),
+        3: ("password=%s tail", "eyJ0eXAi." + "b7Db-7_a" * 60),
+        4: ('secret: "%s"', "eyJ0eXAi." + "b7Db-7_a" * 60),
+        5: ('token = "%s\n tail', "b7db7aa4a5fcc78305"),
+        6: ('token = "%s" tail', "db://u1:b7db7aa4@mail.example.com/" + "b7Db-7_a" * 40),
+        7: ('pwd = "%s" tail', 'b7db\\"7aa4a5'),
+    }
+    rows = [(i, text % secret, 0) for i, (text, secret) in secrets.items()]
+    rows += [(20, 'the token = "abc" and "token" = none', 0)]
+    frame = spark.createDataFrame([*rows, *[(100 + i, f"token=b7db7aa4a5fcc{i}", 0) for i in range(30)]], "doc_id long, text string, n_chars long")
+    model = pii.train(frame)
+    masked = {r.doc_id: r.text for r in pii.mask(frame, model).collect()}
+    spans = {r.doc_id: r.spans for r in pii.find(frame, model).collect()}
+    for i, (text, secret) in secrets.items():
+        at = text.index("%s")
+        assert f"secret:{at}:{at + len(secret)}" in spans[i].split(",")
+        assert masked[i] == text % "<secret>"
+    assert masked[20] == rows[-1][1]
+
+
 def test_em_tells_good_from_bad_labelers():
     rng = np.random.default_rng(0)
     counts = {}
