@@ -3,7 +3,8 @@
 Each block of candidates keeps one list per dimension, sorted by component. A query reads all lists from the end
 that its sign favours, some rows at a time. A candidate's lower bound adds to what was seen of it the least that
 the unread lists can give, its upper bound what stands at the lists' reading marks. Reading stops as soon as few
-candidates' upper bounds reach the k-th lower bound; these candidates' final scores are then resolved.
+candidates' upper bounds reach the k-th lower bound; these candidates' final scores are then resolved from the
+original rows. A query that stops at no depth, as nearly all on the given vectors (see the README), ends in a full scan.
 All queries of a block read in step, so that the work is done in matrix operations.
 
 Components are first turned into floor(scale * x). Vectors that are null or hold null or non-finite components,
