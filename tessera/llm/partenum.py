@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, partitions, release
 from .components import components
@@ -306,8 +307,8 @@ def _rest(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFra
     return rows.join(sets.withColumnRenamed("class", "id"), "id").groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every row of docs with a doc_id."""
+def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
+    """doc_id, n_shingles, class, root (of the class's component; both null for the empty set), component_id of every row with a doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     known = materialize(facts(docs, words), "shingle-facts")
@@ -353,11 +354,42 @@ def join(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     groups = reps.join(comps.withColumnRenamed("id", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     groups = materialize(groups, "groups")
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(least, "root").select("class", "component_id")
-    return known.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = groups.join(least, "root").select("class", "root", "component_id")
+    return known.join(named, "class", "left").select("doc_id", "n_shingles", "class", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every row of docs with a doc_id."""
+    return _linked(docs, words, over, under).select("doc_id", "n_shingles", "component_id")
+
+
+def _one_each(docs: DataFrame, first: DataFrame, words: int) -> DataFrame:
+    """One row of docs, the least as JSON, for each row (doc_id, class) of first."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        memo = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), words, memo) for text in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], ["row", "doc_id", "class"])
+
+    schema = StructType([*rows.schema.fields[:2], StructField("class", LongType())])
+    least = rows.mapInArrow(run, schema).groupBy("doc_id", "class").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("class").alias("first_class"))
+    return least.join(first, (F.col("doc_id") == F.col("first_id")) & F.col("class").eqNullSafe(F.col("first_class"))).select("row.*")
 
 
 def keep_first(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, once each; rows with a null doc_id stay."""
-    found = join(docs, words, over, under).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each component, with its smallest doc_id; rows with a null doc_id stay.
+
+    A doc_id that stands once is judged alone. Where rows repeat a doc_id, each is judged by its text: it belongs to
+    its class's component, or if it has no words to that of its doc_id's rows without words.
+    """
+    found = materialize(_linked(docs, words, over, under).select("doc_id", "class", "root", "component_id"), "linked")
+    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "repeated")
+    out = found.filter("component_id <> doc_id").select("doc_id")
+    if repeated.isEmpty():
+        return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    first = found.join(repeated, "doc_id", "left_semi").filter("component_id = doc_id").groupBy("doc_id", "root").agg(F.min("class").alias("class"))
+    once = docs.join(out.union(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return once.union(_one_each(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), first, words))

@@ -123,3 +123,18 @@ def test_odd_tables(spark):
     assert sorted(map(tuple, partenum.join(frame, 3, 9, 10).collect())) == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (5, 0, 5), (6, 0, 6)]
     kept = partenum.keep_first(frame.withColumn("n_shingles", F.lit(1)), 3, 9, 10)
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 5, 6]
+
+
+def test_first_rows_are_kept_once(spark):
+    rows = [
+        (1, "a b c d", "x"), (1, "a b c d", "x"), (1, "A b  c d", "y"), (2, "a b c d", "x"),  # repeated smallest doc_id
+        (3, "e f g h", "x"), (4, "e f g h", "x"), (4, "i j k l", "x"), (4, "i j k l", "x"),  # one text of doc_id 4 is a copy
+        (5, "m n o p", "x"), (5, "q r s t", "x"), (6, "q r s t", "x"),  # two components of one smallest doc_id
+        (7, None, "x"), (7, "", "x"), (7, "u v w", "x"), (8, "", "x"),
+        (9, " ".join(map(str, range(60))), "x"), (9, " ".join(map(str, range(61))), "x"),  # near copies of one doc_id
+        (None, "a b c d", "x"), (None, "a b c d", "x"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, class string").repartition(3)
+    kept = sorted(((r.doc_id or -1, (r.text or "").lower().split()[:3]) for r in partenum.keep_first(frame, 3, 90, 100).collect()))
+    a, e, i, m, q, u = (x.split() for x in ("a b c", "e f g", "i j k", "m n o", "q r s", "u v w"))
+    assert kept == [(-1, a), (-1, a), (1, a), (3, e), (4, i), (5, m), (5, q), (7, []), (7, u), (8, []), (9, ["0", "1", "2"])]
