@@ -13,9 +13,7 @@ WORDS, OVER, UNDER = 5, 80, 100
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under a half."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = materialize(toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.drop(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

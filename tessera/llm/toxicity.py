@@ -215,3 +215,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def drop(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose own score is under a half."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                yield part.filter(pa.array(model.score(part.column(at).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,7 @@
+import numpy as np
+
 import corpus_pipeline
-from tessera.llm import packing
+from tessera.llm import packing, toxicity
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
@@ -16,3 +18,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
             before = docs.count()
     assert docs.columns == [c.split()[0] for c in packing.SCHEMA.split(", ")]
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_toxic_rows_are_dropped_by_their_own_score(spark, monkeypatch):
+    class Marked(toxicity.Model):
+        def score(self, texts):
+            return np.array([{"bad": 0.9, "half": 0.5}.get(t, 0.1) for t in texts])
+
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: Marked({}, None, None, 0.0))
+    rows = [(1, "bad"), (1, "good"), (1, "bad"), (None, "bad"), (None, "good"), (2, "half"), (3, None), (4, "good"), (4, "good")]
+    docs = spark.createDataFrame([("x", *r) for r in rows], "lang string, doc_id long, text string")
+    kept = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or -1), r.text or "") for r in kept.collect()) == [(-1, "good"), (1, "good"), (3, ""), (4, "good"), (4, "good")]
