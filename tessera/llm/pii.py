@@ -96,7 +96,7 @@ def wide_spans(text: str) -> list[tuple[int, int, int]]:
     """Further candidates: kind, start, end."""
     found = []
     low = None
-    if "at" in text and re.search(r"[(\[{] ?at ?[)\]}]", text, re.I):
+    if re.search(r"[(\[{] ?at ?[)\]}]", text, re.I):
         found += [(0, *m.span()) for m in _WIDE_EMAIL.finditer(text)]
     if _DIGIT.search(text):
         found += [(2, *m.span()) for m in _WIDE_CARD.finditer(text)]

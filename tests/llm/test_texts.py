@@ -77,6 +77,11 @@ def test_quoted_and_long_secrets(spark):
     assert masked[20] == rows[-1][1]
 
 
+def test_written_out_addresses_in_capitals():
+    for text in ("JOHN [AT] MAIL [DOT] COM", "John (At) Mail (Dot) Com", "john {at} mail {dot} com"):
+        assert [(k, text[a:b]) for k, a, b, _, _ in pii.candidates(text)] == [(0, text)]
+
+
 def test_em_tells_good_from_bad_labelers():
     rng = np.random.default_rng(0)
     counts = {}
