@@ -7,14 +7,19 @@ there. So each part and each choice of n2 - k2 of its cells gives a signature, a
 similar sets share one. Signatures without features say nothing and are left out, unless they stand in more than m
 parts of a set: a pair that could lose by it has them on both sides.
 
-Equal sets count as one. Sets that share a signature are candidates; each bucket gives a star of edges, not pairs.
-Connected candidates are a family. Each set is compared with one neighbour. A family that this leaves in more than
-one component is, if larger than a block, first divided by its sets' rarest features, then compared in whole, block by
-block, between components. So no link is lost and nobody gathers a group.
+Equal sets count as one. The sets of a bucket (those that share a signature) form a group with the least of them;
+buckets with the same least set make one group. Within a group, pairs of different components are filtered by size and
+by bitmap, and each set's nearest ones are compared exactly; found links join components, and this goes on with what is
+neither joined nor compared until no pair is left. So no link is lost, no connection is drawn through a pair that has
+not been compared, and a round gives a number of pairs in proportion to its rows, not to their square. A bitmap holds the
+parity of the features of each place, so two of them differ in no more places than the sets differ in features. Large
+groups are dealt in pairs of blocks.
 
 Words are split at ASCII white space after A-Z are lower-cased. A text of fewer words than a shingle is one shingle;
-one without words has none and links with nothing, itself its component. Rows with a null doc_id are left out. Rows
-repeated each give a row. Features and sets are known by 64-bit hashes.
+one without words has none and links with nothing, itself its component. Every row of the input gives a row, repeated
+ones each their own. A row with a null doc_id links with nothing but equal sets: its component_id is the least doc_id
+of the component that these are in, null if there are none. Of the input's columns only doc_id and text are read, so
+others may have any name. Features and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,15 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, partitions, release
+from .common import bitmap_of, having, materialize, partitions, release, slices, tidy
 from .components import components
 
 GROWTH = 1.5
 K2, N2 = 1, 3
 SUBSETS = list(combinations(range(N2), N2 - K2))
-BLOCK = 256
+BLOCK = 1024
 MEMO = 100_000
 PER_PART = 2_000_000
+#: Signatures that a task sorts at once; rows of groups, and pairs, that it compares at once.
+FLUSH, LOT, AT_ONCE = 1_000_000, 20_000, 65_536
+#: Bits of a bitmap for each feature, and of the widest bitmap.
+DENSE, WIDEST = 4, 16_384
+#: How many of a set's nearest ones the first round compares; each further round takes FASTER times as many.
+NEAREST, FASTER = 4, 4
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,54 +139,55 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _blob(signatures: np.ndarray, classes: np.ndarray, edges: np.ndarray) -> bytes:
+def _blob(signatures: np.ndarray, classes: np.ndarray) -> bytes:
     known, at = np.unique(classes, return_inverse=True)
-    head = np.array([len(signatures), len(known), len(edges)], np.int64)
-    return b"".join(x.tobytes() for x in (head, signatures, known, edges, at.astype(np.uint32)))
+    kind = np.uint16 if len(known) <= 2**16 else np.uint32
+    return b"".join(x.tobytes() for x in (np.array([len(at), len(known)], np.int64), known, signatures, at.astype(kind)))
 
 
 def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, known, e = np.frombuffer(blob, np.int64, 3).tolist()
-    at = 24
-    signatures = np.frombuffer(blob, np.uint64, n, at)
-    classes = np.frombuffer(blob, np.int64, known, at := at + 8 * n)
-    edges = np.frombuffer(blob, np.int64, 2 * e, at := at + 8 * known).reshape(-1, 2)
-    return signatures, classes[np.frombuffer(blob, np.uint32, n, at + 16 * e)], edges
-
-
-def _stars(signatures: np.ndarray, classes: np.ndarray):
-    """Firsts of each signature, and edges from them to the others."""
-    order = np.lexsort((classes, signatures))
-    signatures, classes = signatures[order], classes[order]
-    first = np.r_[True, signatures[1:] != signatures[:-1]] if len(order) else np.zeros(0, bool)
-    leader = classes[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else classes
-    other = leader != classes
-    return signatures[first], classes[first], np.unique(np.stack([leader[other], classes[other]], 1), axis=0)
+    n, known = np.frombuffer(blob, np.int64, 2).tolist()
+    at = 16 + 8 * known + 4 * n
+    return np.frombuffer(blob, np.int64, known, 16), np.frombuffer(blob, np.uint32, n, 16 + 8 * known), np.frombuffer(blob, np.uint16 if known <= 2**16 else np.uint32, n, at)
 
 
 def facts(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, class (of equal sets; null for the empty set) of every row."""
+    """doc_id, n_shingles, class (of equal sets; null for the empty set), bits (bitmap of the set) of every row."""
 
     def run(batches):
         memo = WordHashes()
-        for batch in batches:
-            n, c = [], []
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            n, c, bits = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), words, memo)
                 n.append(len(s))
                 c.append(class_of(s) if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "n_shingles", "class"])
+                bits.append(bitmap(s) if len(s) else None)
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "class", "bits"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, class long, bits binary")
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
 
+def grouped(docs: DataFrame, words: int, over: int, under: int, parts: int) -> DataFrame:
+    """lead, class: for each signature that classes share, the least of them and all of them.
 
-def candidate_edges(docs: DataFrame, words: int, over: int, under: int, parts: int) -> DataFrame:
-    """a, b: stars over the classes that share a signature."""
+    Signatures are dealt to parts by hash; a part holds 12 bytes for each signature of a set in it.
+    """
+
+    def dealt(signatures, classes):
+        x = np.concatenate(signatures)
+        y = np.repeat(np.array(classes, np.int64), [len(s) for s in signatures])
+        part = (x % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        x, y = ((x // np.uint64(parts)) & np.uint64(2**32 - 1)).astype(np.uint32)[order], y[order]
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, _blob(x[a:b], y[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
     def sign(batches):
         memo, bands, seen = WordHashes(), Bands(over, under), set()
-        for batch in batches:
-            signatures, classes, sizes = [], [], []
+        signatures, classes, held = [], [], 0
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), words, memo)
                 c = class_of(s)
@@ -183,25 +195,33 @@ def candidate_edges(docs: DataFrame, words: int, over: int, under: int, parts: i
                     seen.add(c)
                     signatures.append(bands.signatures(s))
                     classes.append(c)
-                    sizes.append(len(signatures[-1]))
-            if not classes:
-                continue
-            x, y, edges = _stars(np.concatenate(signatures), np.repeat(np.array(classes, np.int64), sizes))
-            part = (x % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, x, y = part[order], x[order], y[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            home = edges[:, 1] % parts
-            rows = [(p, _blob(x[a:b], y[a:b], edges[home == p])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or (home == p).any()]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
+                    held += len(signatures[-1])
+                if held >= FLUSH:
+                    yield dealt(signatures, classes)
+                    signatures, classes, held = [], [], 0
+        if held:
+            yield dealt(signatures, classes)
 
     def meet(key, table):
-        got = [_unblob(b) for b in table["blob"].to_pylist()]
-        x, y, inner = (np.concatenate(c) for c in zip(*got, strict=True))
-        edges = np.unique(np.concatenate([inner, _stars(x, y)[2]]), axis=0)
-        return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-    return docs.mapInArrow(sign, "part long, blob binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+        known, x, y = zip(*map(_unblob, table["blob"].to_pylist()), strict=True)
+        every, place = np.unique(np.concatenate(known), return_inverse=True)
+        first = np.cumsum([0, *map(len, known)])
+        held = np.concatenate(x).astype(np.uint64) << np.uint64(32)
+        held |= np.concatenate([place[a:b][at] for a, b, at in zip(first, first[1:], y, strict=False)]).astype(np.uint64)
+        del x, y
+        held.sort()
+        held = held[np.r_[True, held[1:] != held[:-1]]]
+        who = (held & np.uint64(2**32 - 1)).astype(np.int64)
+        held >>= np.uint64(32)
+        begin = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        size = np.diff(np.r_[begin, len(held)])
+        del held
+        wide = np.repeat(size > 1, size)
+        lead = np.repeat(who[begin[size > 1]], size[size > 1])
+        pairs = np.unique(lead * len(every) + who[wide])
+        return pa.table([pa.array(every[pairs // len(every)]), pa.array(every[pairs % len(every)])], ["lead", "class"])
+
+    return docs.mapInArrow(tidy(sign), "part long, blob binary").groupBy("part").applyInArrow(tidy(meet), "lead long, class long").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, over: int, under: int) -> bool:
@@ -216,150 +236,164 @@ def _verify(pairs: DataFrame, over: int, under: int) -> DataFrame:
             keep = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), over, under) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, over: int, under: int) -> list[tuple[int, int]]:
-    """Links between rows of left and of right that join different components."""
-    sizes = np.array([len(s) for s in sets])
-    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = counts[at] > 1
-    row, column = row[shared], rank[at[shared]]
-    both = np.zeros((len(left), len(right)), np.float32)
-    place = np.full(len(sets), -1)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = 8192
-    for start in range(0, int(counts[counts > 1].size), width):
-        a, b = np.searchsorted(column, [start, start + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[row[a:b], column[a:b] - start] = 1
-        both += m[left] @ m[right].T
-    either = sizes[left][:, None] + sizes[right][None, :] - both
-    linked = (under * both >= over * either) & (comps[left][:, None] != comps[right][None, :])
-    parent: dict[int, int] = {}
-
-    def root(c):
-        while (p := parent.get(c, c)) != c:
-            c = p
-        return c
-
-    links = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        p, q = root(int(comps[left[i]])), root(int(comps[right[j]]))
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            links.append((int(ids[left[i]]), int(ids[right[j]])))
-    del place
-    return links
-
-
-def _finer(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
-    """a, b: stars over the members (id, family) of a family that share a feature among their rarest.
-
-    With features ordered by how often they stand, similar sets share one of the first |set| - ceil(over / under * |set|) + 1
-    of each: so no link is lost. Features that stand once fill first places and lead nowhere.
-    """
-
-    def spread(batches):
-        for batch in batches:
-            features = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
-            for part in np.array_split(np.arange(len(features)), max(1, len(features) // 256)):
-                sizes = np.array([len(features[i]) for i in part], np.int64)
-                yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(part, sizes))), pa.array(np.concatenate([features[i] for i in part]) if len(part) else np.zeros(0, np.int64))], ["id", "feature"])
-
-    held = members.select("id", "family").join(sets.withColumnRenamed("class", "id"), "id")
-    # What is dealt by feature holds no more than the feature and the set; family and size join again later.
-    rows = materialize(held.select("id", "features").mapInArrow(spread, "id long, feature long"), "features")
-    sizes = held.select("id", "family", (F.octet_length("features") / 8).cast("long").alias("n"))
-    often = rows.groupBy("feature").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = rows.join(often, "feature").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "feature"))).alias("shared")).join(sizes, "id")
-    first = F.col("n") - F.ceil(F.col("n") * over / under) + 1 - (F.col("n") - F.size("shared"))
-    first = shared.select("id", "family", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("f")).select("id", "family", "f.feature")
-    first = materialize(first, "rarest")
-    heads = first.groupBy("family", "feature").agg(F.min("id").alias("a"), F.count("*").alias("times")).filter("times > 1")
-    return first.join(heads, ["family", "feature"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-
-def _rest(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
-    """Links between components of one family; members: id, family, comp, size (of the family)."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("comp", F.when(F.col("size") > BLOCK, F.col("id") % 16)), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("id", "family", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        own, comps = table["own"].to_numpy(), table["comp"].to_numpy()
-        links = []
-        if len(set(comps.tolist())) > 1:
-            sets_ = [np.frombuffer(b, np.uint64) for b in table["features"].to_pylist()]
-            ids = table["id"].to_numpy()
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for p in np.array_split(left, max(1, len(left) // BLOCK)):
-                for q in np.array_split(right, max(1, len(right) // BLOCK)):
-                    if len(p) and len(q):
-                        links += _block_links(ids, comps, sets_, p, q, over, under)
-        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+    return pairs.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
+
+
+def bitmap(features: np.ndarray) -> bytes:
+    """At each place the parity of the features that fall there; half as wide, it is the one half against the other."""
+    width = min(WIDEST, max(64, 1 << (DENSE * len(features) - 1).bit_length()))
+    at = (mix(features ^ _M3) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(a: np.ndarray, b: np.ndarray, maps: list[bytes]) -> np.ndarray:
+    """In how many places the bitmaps of a and b differ."""
+    width = np.array([8 * len(m) for m in maps], np.int64)
+    at = np.minimum(width[a], width[b])
+    out = np.zeros(len(a), np.int64)
+    for w in np.unique(at).tolist():
+        rows = np.flatnonzero(at == w)
+        used = np.unique(np.concatenate([a[rows], b[rows]]))
+        bits = np.zeros((len(used), w // 64), np.uint64)
+        for i, u in enumerate(used.tolist()):
+            m = np.frombuffer(maps[u], np.uint64)
+            while len(m) > w // 64:
+                m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+            bits[i] = m
+        step = max(1, AT_ONCE * 64 // w)
+        for i in range(0, len(rows), step):
+            r = rows[i : i + step]
+            out[r] = np.bitwise_count(bits[np.searchsorted(used, a[r])] ^ bits[np.searchsorted(used, b[r])]).sum(1, dtype=np.int64)
+    return out
 
-    return rows.join(sets.withColumnRenamed("class", "id"), "id").groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
+def nearest_pairs(table: pa.Table, failed: pa.Table, nearest: int, over: int, under: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of classes a < b to compare: each row's nearest ones of a group, of other components, not failed before.
 
-def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
-    """doc_id, n_shingles, class, root (of the class's component; both null for the empty set), component_id of every row with a doc_id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    known = materialize(facts(docs, words), "shingle-facts")
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(partitions(spark), math.ceil(total / PER_PART))
-    edges = materialize(candidate_edges(docs, words, over, under, parts), "candidates")
-    release(spark)
-    reps = materialize(known.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
-    wanted = edges.select(F.col("a").alias("class")).union(edges.select("b")).distinct().join(reps, "class")
-    wanted = wanted.select("class", "doc_id")
+    A group is of one lead and the blocks i and j. Also the classes that have any such pair.
+    """
+    ids, each = np.unique(table["class"].to_numpy(), return_index=True)
+    maps = table["bits"].take(pa.array(each)).to_pylist()
+    n, comp = table["n"].to_numpy()[each], table["comp"].to_numpy()[each]
+    who = np.searchsorted(ids, table["class"].to_numpy())
+    lead, own, i, j = (table[c].to_numpy() for c in ("lead", "own", "i", "j"))
+    order = np.lexsort((n[who], j, i, lead))
+    lead, own, i, j, who = (x[order] for x in (lead, own, i, j, who))
+    group = np.cumsum(np.r_[0, (np.diff(lead) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+    # A row meets those after it in its group, up to the largest size that may be similar.
+    high = n[who] * under // over
+    wide = int(n.max(initial=0)) + 1
+    most = np.searchsorted(group * wide + n[who], group * wide + np.minimum(high, wide - 1), side="right") - np.arange(len(who)) - 1
+    lost = [failed[c].to_numpy() for c in "ab"]
+    lost = np.stack(lost, 1)[np.isin(lost[0], ids) & np.isin(lost[1], ids)]
+    gone = np.unique(np.searchsorted(ids, lost[:, 0]) * len(ids) + np.searchsorted(ids, lost[:, 1]))
+    total, begin, out, loss = np.cumsum(most), 0, [], []
+    while begin < len(who):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 4 * AT_ONCE, side="right")))
+        many = most[begin:end]
+        x = np.repeat(np.arange(begin, end), many)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+        # In a pair of different blocks only rows of both meet.
+        keep = (comp[who[x]] != comp[who[y]]) & ((i[x] == j[x]) | (own[x] != own[y]))
+        x, y = who[x[keep]], who[y[keep]]
+        pairs = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+        pairs = pairs[~np.isin(pairs, gone, assume_unique=True)]
+        a, b = pairs // len(ids), pairs % len(ids)
+        apart, both = _apart(a, b, maps), n[a] + n[b]
+        may = apart * (under + over) <= both * (under - over)
+        out.append(pairs[may])
+        loss.append(apart[may] / both[may])
+        begin = end
+    pairs, once = np.unique(np.concatenate([gone[:0], *out]), return_index=True)
+    loss = np.concatenate([np.zeros(0), *loss])[once]
+    a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+    row, at = np.concatenate([a, b]), np.tile(np.arange(len(pairs)), 2)
+    order = np.lexsort((loss[at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, row)
+    chosen = np.unique(at[np.arange(len(row)) - first < nearest])
+    return ids[a[chosen]], ids[b[chosen]], ids[np.unique(row)]
+
+
+def _round(rows: DataFrame, failed: DataFrame, nearest: int, over: int, under: int) -> DataFrame:
+    """lot, a, b: pairs to compare; b is null for a class a that has any. rows: lot, lead, class, comp, own, i, j, n, bits."""
+
+    def run(key, table, failed):
+        a, b, some = nearest_pairs(table, failed, nearest, over, under) if len(table) else [np.zeros(0, np.int64)] * 3
+        lots = [key[0].as_py()] * (len(a) + len(some))
+        return pa.table([pa.array(lots, pa.int64()), pa.array(np.concatenate([a, some])), pa.array(b.tolist() + [None] * len(some), pa.int64())], ["lot", "a", "b"])
+
+    return rows.groupBy("lot").cogroup(failed.groupBy("lot")).applyInArrow(tidy(run), "lot long, a long, b long")
+
+
+def _features(docs: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """class, features of the sets that are wanted (class, doc_id)."""
 
     def build(batches):
         memo = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             sets = [shingle_set(t, words, memo) for t in batch.column(0).to_pylist()]
             keep = [class_of(s) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "features"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.join(wanted, "doc_id").select("text", "class").mapInArrow(build, "class long, features binary")
-    sets = materialize(sets.dropDuplicates(["class"]), "sets")
-    release(spark)
-    one = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # every set and one that it shares a signature with
-    pairs = one.join(sets.select(F.col("class").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("features").alias("y")), "b")
-    links = materialize(_verify(pairs, over, under), "links")
-    del pairs
+    sets = having(docs, bitmap_of(wanted)).join(wanted, "doc_id").select("text", "class").mapInArrow(tidy(build), "class long, features binary")
+    return sets.dropDuplicates(["class"]) if repeated else sets
+
+
+def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
+    """doc_id, n_shingles, class, root (of the class's component; both null for the empty set), component_id of every row."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = materialize(facts(docs, words), "shingle-facts")
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(partitions(spark), math.ceil(total / PER_PART))
+    groups = materialize(grouped(docs, words, over, under, parts), "groups")
     release(spark)
-    comps = components(links)
-    members = components(edges).withColumnRenamed("root", "family").join(comps.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    members = materialize(members, "members")
-
-    def mixed_of(members: DataFrame) -> DataFrame:
-        return members.groupBy("family").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("family", "size")
-
-    mixed = mixed_of(members)
-    large = materialize(mixed.filter(F.col("size") > BLOCK).select("family", F.lit(True).alias("large")), "large")
-    if not large.isEmpty():
-        finer = components(_finer(members.join(large, "family"), sets, over, under))
-        members = members.join(large, "family", "left").join(finer, "id", "left")
-        members = materialize(members.select("id", "comp", F.when(F.col("large"), F.coalesce("root", "id")).otherwise(F.col("family")).alias("family")), "members")
-        mixed = mixed_of(members)
-    rest = materialize(_rest(members.join(mixed, "family"), sets, over, under), "links")
-    comps = components(links.union(rest)) if not rest.isEmpty() else comps
-    groups = reps.join(comps.withColumnRenamed("id", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    groups = materialize(groups, "groups")
-    least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(least, "root").select("class", "root", "component_id")
+    reps = materialize(known.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
+    repeated = not known.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    size = groups.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = groups.join(size, "lead").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = materialize(rows.select("lead", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "rows")
+    lots = max(partitions(spark), math.ceil(rows.count() / LOT))
+    maps = known.join(reps.join(groups.select("class").distinct(), "class", "left_semi"), ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "bits")
+    maps = materialize(maps.dropDuplicates(["class"]) if repeated else maps, "bitmaps")
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(lots)).cast("long"))
+    comps, links, sets, nearest = None, None, None, NEAREST
+    failed = spark.createDataFrame([], "lot long, a long, b long")
+    while True:
+        if comps is None:
+            now = rows.withColumn("comp", F.col("class"))
+        else:
+            held = rows.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+            held = materialize(held, "held")
+            opened = held.groupBy("lead", "i", "j").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+            now = held.join(opened.select("lead", "i", "j"), ["lead", "i", "j"], "left_semi")
+        found = materialize(_round(now.join(maps, "class"), failed, nearest, over, under), "pairs")
+        pairs = found.filter("b is not null")
+        if pairs.isEmpty():
+            break
+        if sets is None:
+            sets = materialize(_features(docs, found.filter("b is null").select(F.col("a").alias("class")).distinct().join(reps, "class"), words, repeated), "sets")
+        release(spark)
+        x, y = (sets.select(F.col("class").alias(i), F.col("features").alias(f)) for i, f in (("a", "x"), ("b", "y")))
+        fresh = materialize(_verify(pairs.select("a", "b").distinct().join(x, "a").join(y, "b"), over, under), "links")
+        failed = materialize(failed.union(pairs.join(fresh, ["a", "b"], "left_anti").select("lot", "a", "b")), "failed")
+        links = fresh if links is None else links.union(fresh)
+        if not fresh.isEmpty():
+            comps = components(links)
+        release(spark)
+        nearest *= FASTER
+    named = reps if comps is None else reps.join(comps.withColumnRenamed("id", "class"), "class", "left")
+    named = named.select("class", "doc_id", F.coalesce("root", "class").alias("root") if comps is not None else F.col("class").alias("root"))
+    named = materialize(named, "roots")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "root").select("class", "root", "component_id")
     return known.join(named, "class", "left").select("doc_id", "n_shingles", "class", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every row of docs with a doc_id."""
+    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every row of docs."""
     return _linked(docs, words, over, under).select("doc_id", "n_shingles", "component_id")
 
 
@@ -369,12 +403,12 @@ def _one_each(docs: DataFrame, first: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         memo = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             sets = [shingle_set(text.as_py(), words, memo) for text in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], ["row", "doc_id", "class"])
 
     schema = StructType([*rows.schema.fields[:2], StructField("class", LongType())])
-    least = rows.mapInArrow(run, schema).groupBy("doc_id", "class").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    least = rows.mapInArrow(tidy(run), schema).groupBy("doc_id", "class").agg(F.min_by("row", F.to_json("row")).alias("row"))
     first = first.select(F.col("doc_id").alias("first_id"), F.col("class").alias("first_class"))
     return least.join(first, (F.col("doc_id") == F.col("first_id")) & F.col("class").eqNullSafe(F.col("first_class"))).select("row.*")
 
@@ -386,7 +420,7 @@ def keep_first(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     its class's component, or if it has no words to that of its doc_id's rows without words.
     """
     found = materialize(_linked(docs, words, over, under).select("doc_id", "class", "root", "component_id"), "linked")
-    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "repeated")
+    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1 and doc_id is not null").select("doc_id"), "repeated")
     out = found.filter("component_id <> doc_id").select("doc_id")
     if repeated.isEmpty():
         return docs.join(out, "doc_id", "left_anti").select(*docs.columns)

@@ -24,14 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import bitmap_of, having, materialize, partitions, release, slices, tidy
 from .fm_index import FMIndex
 from .partenum import WordHashes, grams
 
 WINDOW = 20
 GRAM = 6
 SHARD = 10_000
-BITS = 2**24
 _NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
@@ -67,21 +66,12 @@ def anchors(texts: list[list[bytes]], memo: WordHashes, window: int, gram: int)
     return g[at[first]], place[first], place[last], np.bincount(text[first], minlength=len(texts))
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int = 2**20):
-    """A batch cut so that a slice's texts are not much longer than size bytes together."""
-    text = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    part = np.cumsum(text + 64) // size
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-    for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=False):
-        yield batch.slice(int(a), int(b - a))
-
-
 def _marks(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id, n_words, class (of equal texts), and the anchors of those texts that a task meets first or with a smaller doc_id."""
 
     def run(batches):
         memo, seen = WordHashes(), {}
-        for batch in (part for whole in batches for part in _slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n, classes, wanted = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
@@ -97,7 +87,7 @@ def _marks(docs: DataFrame, window: int, gram: int) -> DataFrame:
             rows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["hash", "low", "high"])
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), rows)], ["doc_id", "n_words", "class", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, class long, anchors array<struct<hash:long,low:int,high:int>>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_words long, class long, anchors array<struct<hash:long,low:int,high:int>>")
 
 
 def shard_windows(doc_ids: np.ndarray, lows: np.ndarray, texts: list[bytes], window: int):
@@ -140,29 +130,6 @@ def _runs(ids: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray,
     return ids[first], starts[first], starts[np.r_[first[1:] - 1, len(starts) - 1]] + window
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Hashes of doc_id as a bitmap of BITS bits, however many rows there are."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    parts = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in parts.collect():
-        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def _having(docs: DataFrame, bitmap: np.ndarray, there: bool = True) -> DataFrame:
-    """The rows whose doc_id may be in the bitmap, or surely isn't: keeps other texts out of a shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            batch = batch.select(batch.schema.names[:-1])
-            yield batch.filter(pa.array((((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 1) == there))
-
-    at = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)), F.lit(0))
-    return docs.withColumn("__at", at).mapInArrow(run, docs.schema)
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, copy (its whole text stands earlier), spans (of words, end exclusive) of the documents that lose words."""
     spark = docs.sparkSession
@@ -177,7 +144,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     chosen = materialize(chosen, "chosen")
 
     def cut(batches):
-        for batch in (part for whole in batches for part in _slices(whole, 1, 2**18)):
+        for batch in (part for whole in batches for part in slices(whole, 1, 2**18)):
             chosen = batch.column(2)
             many = pc.list_value_length(chosen).to_numpy()
             hashes, lows, highs, times = (chosen.flatten().field(c) for c in ("hash", "low", "high", "times"))
@@ -188,7 +155,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
                 at += k
             yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), hashes, times, lows, pa.array(pieces, pa.binary())], ["doc_id", "hash", "times", "low", "words"])
 
-    segments = _having(docs, _bitmap(chosen)).join(chosen, "doc_id").select("doc_id", "text", "chosen").mapInArrow(cut, "doc_id long, hash long, times long, low int, words binary")
+    segments = having(docs, bitmap_of(chosen)).join(chosen, "doc_id").select("doc_id", "text", "chosen").mapInArrow(tidy(cut), "doc_id long, hash long, times long, low int, words binary")
     salts = F.ceil(F.col("times") / most).cast("long")
     segments = segments.withColumn("split", salts > 1).withColumn("shard", F.pmod(F.xxhash64("hash", F.pmod(F.xxhash64("doc_id"), salts)), F.lit(shards)).cast("long")).drop("hash", "times")
 
@@ -211,7 +178,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         left = pa.table([pa.array(c, t) for c, t in zip((ids[segment[open_]], start[open_], [None] * len(open_), keys), types, strict=True)], names)
         return pa.concat_tables([spans, left])
 
-    found = materialize(segments.groupBy("shard").applyInArrow(seek, "doc_id long, low int, high int, key binary"), "windows")
+    found = materialize(segments.groupBy("shard").applyInArrow(tidy(seek), "doc_id long, low int, high int, key binary"), "windows")
     firsts = found.filter("key is not null")
     least = firsts.groupBy("key").agg(F.min(F.struct("doc_id", "low")).alias("least"), F.count("*").alias("times")).filter("times > 1")
     late = firsts.join(least.select("key", "least"), "key").filter(F.struct("doc_id", "low") > F.col("least")).select("doc_id", "low", (F.col("low") + window).alias("high"))
@@ -228,7 +195,7 @@ def remove(docs: DataFrame, window: int = WINDOW, **more) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        for batch in (part for whole in batches for part in _slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n, gone, kept, sha = [], [], [], []
             for text, copy, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 words = words_of(text)
@@ -246,10 +213,10 @@ def remove(docs: DataFrame, window: int = WINDOW, **more) -> DataFrame:
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(sha, pa.string())], ["doc_id", "text", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    bitmap = _bitmap(found)
-    joined = _having(docs, bitmap).join(found, "doc_id", "left").select("doc_id", "text", "copy", "spans")
-    joined = joined.union(_having(docs, bitmap, False).select("doc_id", "text", F.lit(None).cast("boolean"), F.lit(None).cast(found.schema["spans"].dataType)))
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept string, kept_sha256 string")
+    bitmap = bitmap_of(found)
+    joined = having(docs, bitmap).join(found, "doc_id", "left").select("doc_id", "text", "copy", "spans")
+    joined = joined.union(having(docs, bitmap, False).select("doc_id", "text", F.lit(None).cast("boolean"), F.lit(None).cast(found.schema["spans"].dataType)))
+    return joined.mapInArrow(tidy(run), "doc_id long, text string, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -258,7 +225,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema, names = docs.schema, docs.columns
 
     def run(batches):
-        for batch in (part for whole in batches for part in _slices(whole, names.index("text"))):
+        for batch in (part for whole in batches for part in slices(whole, names.index("text"))):
             texts, keep = [], []
             for text, copy, spans in zip(*(batch.column(name).to_pylist() for name in ("text", "__copy", "__spans")), strict=True):
                 if copy or spans:
@@ -277,7 +244,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out = out.set_column(names.index("n_chars"), batch.schema.field("n_chars"), pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type))
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    bitmap = _bitmap(found)
-    joined = _having(docs, bitmap).join(found.select("doc_id", F.col("copy").alias("__copy"), F.col("spans").alias("__spans")), "doc_id", "left").select(*names, "__copy", "__spans")
-    joined = joined.union(_having(docs, bitmap, False).select(*names, F.lit(None).cast("boolean"), F.lit(None).cast(found.schema["spans"].dataType)))
-    return joined.mapInArrow(run, schema)
+    bitmap = bitmap_of(found)
+    joined = having(docs, bitmap).join(found.select("doc_id", F.col("copy").alias("__copy"), F.col("spans").alias("__spans")), "doc_id", "left").select(*names, "__copy", "__spans")
+    joined = joined.union(having(docs, bitmap, False).select(*names, F.lit(None).cast("boolean"), F.lit(None).cast(found.schema["spans"].dataType)))
+    return joined.mapInArrow(tidy(run), schema)

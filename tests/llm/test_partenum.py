@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,14 +68,31 @@ def test_join_is_exact(spark, n, over, under):
 
 
 @pytest.mark.parametrize(("over", "block"), [(80, 8), (90, 3)])
-def test_large_families_are_divided(spark, monkeypatch, over, block):
-    monkeypatch.setattr(partenum, "BLOCK", block)
-    called = []
-    finer = partenum._finer
-    monkeypatch.setattr(partenum, "_finer", lambda *a: called.append(1) or finer(*a))
+def test_large_groups_are_dealt_in_blocks(spark, monkeypatch, over, block):
+    for name, value in (("BLOCK", block), ("LOT", 100), ("AT_ONCE", 7), ("NEAREST", 1)):
+        monkeypatch.setattr(partenum, name, value)
     rows = families(11, 260)
     got = sorted(map(tuple, partenum.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, over, 100).collect()))
-    assert got == brute(rows, 3, over, 100) and called
+    assert got == brute(rows, 3, over, 100)
+
+
+def test_no_similar_pair_of_a_group_is_left_out():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, int(rng.choice([2, 9, 60, 500, 12_000])), dtype=np.int64).astype(np.uint64)
+        sets += [np.unique(np.r_[base[int(len(base) * rng.random() * 0.15) :], rng.integers(0, 2**63, 1 + len(base) // 20, dtype=np.int64).astype(np.uint64)]) for _ in range(3)]
+    same = [0] * 180
+    table = pa.table({"lead": [1] * 180, "class": list(range(180)), "comp": list(range(180)), "own": same, "i": same, "j": same, "n": [len(x) for x in sets], "bits": [partenum.bitmap(x) for x in sets]})
+    near = {(a, b) for a in range(180) for b in range(a + 1, 180) if partenum.similar(sets[a], sets[b], 80, 100)}
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    found = set(zip(*(x.tolist() for x in partenum.nearest_pairs(table, none, 200, 80, 100)[:2]), strict=True))
+    assert near and near <= found and len(found) < 2 * len(near) + 20
+    a, b, some = partenum.nearest_pairs(table, none, 1, 80, 100)
+    assert len(a) <= 180 and set(some.tolist()) == {x for p in found for x in p}
+    failed = pa.table({"a": np.r_[a, -5, 7], "b": np.r_[b, 3, 999]})  # some of sets that are no longer there
+    left = set(zip(*(x.tolist() for x in partenum.nearest_pairs(table, failed, 200, 80, 100)[:2]), strict=True))
+    assert left == found - set(zip(a.tolist(), b.tolist(), strict=True))
 
 
 def test_join_on_the_table(spark):
@@ -120,9 +138,11 @@ def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert partenum.join(empty, 3, 9, 10).count() == 0
     frame = spark.createDataFrame([(2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (1, "A B C D"), (5, None), (6, "")], "doc_id long, text string")
-    assert sorted(map(tuple, partenum.join(frame, 3, 9, 10).collect())) == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (5, 0, 5), (6, 0, 6)]
+    frame = frame.union(spark.createDataFrame([(None, "p q r"), (None, None)], frame.schema))
+    got = sorted((tuple(r) for r in partenum.join(frame, 3, 9, 10).collect()), key=str)
+    assert got == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (5, 0, 5), (6, 0, 6), (None, 0, None), (None, 1, None), (None, 2, 1)]
     kept = partenum.keep_first(frame.withColumn("n_shingles", F.lit(1)), 3, 9, 10)
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 5, 6]
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, -1, 1, 5, 6]
 
 
 def test_first_rows_are_kept_once(spark):
