@@ -13,7 +13,8 @@ by bitmap, and each set's nearest ones are compared exactly; found links join co
 neither joined nor compared until no pair is left. So no link is lost, no connection is drawn through a pair that has
 not been compared, and a round gives a number of pairs in proportion to its rows, not to their square. A bitmap holds the
 parity of the features of each place, so two of them differ in no more places than the sets differ in features. Large
-groups are dealt in pairs of blocks.
+groups are cut into blocks: in the first MIXES rounds a set is in one block, another one each time, with the least set;
+later the sets of the group's largest component are, and the others in all blocks. So all pairs of two components meet.
 
 Words are split at ASCII white space after A-Z are lower-cased. A text of fewer words than a shingle is one shingle;
 one without words has none and links with nothing, itself its component. Every row of the input gives a row, repeated
@@ -40,7 +41,7 @@ from .components import components
 GROWTH = 1.5
 K2, N2 = 1, 3
 SUBSETS = list(combinations(range(N2), N2 - K2))
-BLOCK = 1024
+BLOCK = 4096
 MEMO = 100_000
 PER_PART = 2_000_000
 #: Signatures that a task sorts at once; rows of groups, and pairs, that it compares at once.
@@ -49,6 +50,7 @@ FLUSH, LOT, AT_ONCE = 1_000_000, 20_000, 65_536
 DENSE, WIDEST = 4, 16_384
 #: How many of a set's nearest ones the first round compares; each further round takes FASTER times as many.
 NEAREST, FASTER = 4, 4
+MIXES = 2
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,16 +272,16 @@ def _apart(a: np.ndarray, b: np.ndarray, maps: list[bytes]) -> np.ndarray:
 def nearest_pairs(table: pa.Table, failed: pa.Table, nearest: int, over: int, under: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of classes a < b to compare: each row's nearest ones of a group, of other components, not failed before.
 
-    A group is of one lead and the blocks i and j. Also the classes that have any such pair.
+    A group is a block of one lead's. Also the classes that have any such pair.
     """
     ids, each = np.unique(table["class"].to_numpy(), return_index=True)
     maps = table["bits"].take(pa.array(each)).to_pylist()
     n, comp = table["n"].to_numpy()[each], table["comp"].to_numpy()[each]
     who = np.searchsorted(ids, table["class"].to_numpy())
-    lead, own, i, j = (table[c].to_numpy() for c in ("lead", "own", "i", "j"))
-    order = np.lexsort((n[who], j, i, lead))
-    lead, own, i, j, who = (x[order] for x in (lead, own, i, j, who))
-    group = np.cumsum(np.r_[0, (np.diff(lead) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+    lead, block = (table[c].to_numpy() for c in ("lead", "block"))
+    order = np.lexsort((n[who], block, lead))
+    lead, block, who = (x[order] for x in (lead, block, who))
+    group = np.cumsum(np.r_[0, (np.diff(lead) != 0) | (np.diff(block) != 0)])
     # A row meets those after it in its group, up to the largest size that may be similar.
     high = n[who] * under // over
     wide = int(n.max(initial=0)) + 1
@@ -293,8 +295,7 @@ def nearest_pairs(table: pa.Table, failed: pa.Table, nearest: int, over: int, un
         many = most[begin:end]
         x = np.repeat(np.arange(begin, end), many)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
-        # In a pair of different blocks only rows of both meet.
-        keep = (comp[who[x]] != comp[who[y]]) & ((i[x] == j[x]) | (own[x] != own[y]))
+        keep = comp[who[x]] != comp[who[y]]
         x, y = who[x[keep]], who[y[keep]]
         pairs = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y))
         pairs = pairs[~np.isin(pairs, gone, assume_unique=True)]
@@ -316,7 +317,7 @@ def nearest_pairs(table: pa.Table, failed: pa.Table, nearest: int, over: int, un
 
 
 def _round(rows: DataFrame, failed: DataFrame, nearest: int, over: int, under: int) -> DataFrame:
-    """lot, a, b: pairs to compare; b is null for a class a that has any. rows: lot, lead, class, comp, own, i, j, n, bits."""
+    """lot, a, b: pairs to compare; b is null for a class a that has any. rows: lot, lead, class, comp, block, n, bits."""
 
     def run(key, table, failed):
         a, b, some = nearest_pairs(table, failed, nearest, over, under) if len(table) else [np.zeros(0, np.int64)] * 3
@@ -351,30 +352,46 @@ def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     release(spark)
     reps = materialize(known.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
     repeated = not known.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    size = groups.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = groups.join(size, "lead").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = materialize(rows.select("lead", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "rows")
-    lots = max(partitions(spark), math.ceil(rows.count() / LOT))
+    size = groups.groupBy("lead").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    size = materialize(size, "sizes")
+    large = size.filter("blocks > 1").select("lead")
+    mixes = 0 if large.isEmpty() else MIXES
+    lots = max(partitions(spark), math.ceil((size.agg(F.sum("size")).first()[0] or 0) / LOT))
+    groups = materialize(groups.join(size.select("lead", "blocks"), "lead"), "groups")
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     maps = known.join(reps.join(groups.select("class").distinct(), "class", "left_semi"), ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "bits")
     maps = materialize(maps.dropDuplicates(["class"]) if repeated else maps, "bitmaps")
-    rows = rows.withColumn("lot", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(lots)).cast("long"))
-    comps, links, sets, nearest = None, None, None, NEAREST
+    comps, links, sets, nearest, turn = None, None, None, NEAREST, 0
     failed = spark.createDataFrame([], "lot long, a long, b long")
     while True:
         if comps is None:
-            now = rows.withColumn("comp", F.col("class"))
+            now = groups.withColumn("comp", F.col("class"))
         else:
-            held = rows.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-            held = materialize(held, "held")
-            opened = held.groupBy("lead", "i", "j").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-            now = held.join(opened.select("lead", "i", "j"), ["lead", "i", "j"], "left_semi")
+            now = groups.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+            now = materialize(now, "held")
+            opened = now.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("lead")
+            now = now.join(opened, "lead", "left_semi")
+        own = F.pmod(F.xxhash64("class", F.lit(min(turn, mixes))), F.col("blocks"))
+        if turn < mixes:
+            now = now.withColumn("block", F.explode(F.when(F.col("lead") == F.col("class"), every).otherwise(F.array(own))))
+        elif mixes:
+            most = now.join(large, "lead", "left_semi").groupBy("lead", "comp").agg(F.count("*").alias("times")).groupBy("lead").agg(F.max_by("comp", F.struct("times", "comp")).alias("largest"))
+            now = now.join(most, "lead", "left").withColumn("block", F.explode(F.when(F.col("comp") == F.col("largest"), F.array(own)).otherwise(every)))
+        else:
+            now = now.withColumn("block", F.lit(0).cast("long"))
+        now = now.select("lead", "class", "comp", "block", F.pmod(F.xxhash64("lead", "block"), F.lit(lots)).cast("long").alias("lot"))
         found = materialize(_round(now.join(maps, "class"), failed, nearest, over, under), "pairs")
         pairs = found.filter("b is not null")
+        turn += 1
         if pairs.isEmpty():
-            break
-        if sets is None:
-            sets = materialize(_features(docs, found.filter("b is null").select(F.col("a").alias("class")).distinct().join(reps, "class"), words, repeated), "sets")
+            if turn > mixes:
+                break
+            continue
+        if sets is None or turn <= mixes + 1:
+            # After the first round that meets all pairs, no other sets can be asked for.
+            some = found.filter("b is null").select(F.col("a").alias("class")).distinct().join(reps, "class")
+            more = _features(docs, some if sets is None else some.join(sets.select("class"), "class", "left_anti"), words, repeated)
+            sets = materialize(more if sets is None else sets.union(more), "sets")
         release(spark)
         x, y = (sets.select(F.col("class").alias(i), F.col("features").alias(f)) for i, f in (("a", "x"), ("b", "y")))
         fresh = materialize(_verify(pairs.select("a", "b").distinct().join(x, "a").join(y, "b"), over, under), "links")

@@ -83,7 +83,7 @@ def test_no_similar_pair_of_a_group_is_left_out():
         base = rng.integers(0, 2**63, int(rng.choice([2, 9, 60, 500, 12_000])), dtype=np.int64).astype(np.uint64)
         sets += [np.unique(np.r_[base[int(len(base) * rng.random() * 0.15) :], rng.integers(0, 2**63, 1 + len(base) // 20, dtype=np.int64).astype(np.uint64)]) for _ in range(3)]
     same = [0] * 180
-    table = pa.table({"lead": [1] * 180, "class": list(range(180)), "comp": list(range(180)), "own": same, "i": same, "j": same, "n": [len(x) for x in sets], "bits": [partenum.bitmap(x) for x in sets]})
+    table = pa.table({"lead": [1] * 180, "class": list(range(180)), "comp": list(range(180)), "block": same, "n": [len(x) for x in sets], "bits": [partenum.bitmap(x) for x in sets]})
     near = {(a, b) for a in range(180) for b in range(a + 1, 180) if partenum.similar(sets[a], sets[b], 80, 100)}
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     found = set(zip(*(x.tolist() for x in partenum.nearest_pairs(table, none, 200, 80, 100)[:2]), strict=True))
