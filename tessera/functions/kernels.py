@@ -82,15 +82,53 @@ def peaks(power: np.ndarray) -> np.ndarray:
     return at[np.argsort(-power[at], kind="stable")]
 
 
+def quantile(m: np.ndarray, q: float, upper: bool = False) -> float:
+    """Hazen quantile (of 1 - q if upper); its position is found in single precision."""
+    o, n = np.sort(m), len(m)
+    q = np.float32(1) - np.float32(q) if upper else np.float32(q)
+    h = np.float32(n) * q - np.float32(0.5)
+    i = int(np.floor(h))
+    if h < 0:
+        return float(o[0])
+    return float(o[-1]) if i >= n - 1 else float(o[i] + (float(h) - i) * (o[i + 1] - o[i]))
+
+
+def ordinal(n: int) -> str:
+    """1st, 2nd, 3rd, 4th, 11th, 21st and so on."""
+    return f"{n}{'th' if n % 100 in (11, 12, 13) else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
+
+
+def linear_grid(start: float, step: float, size: int) -> np.ndarray:
+    if not (start >= 0 and step > 0 and size >= 1):
+        raise ValueError("a grid needs start >= 0, step > 0 and a point")
+    return start + step * np.arange(size)
+
+
+def arbitrary_grid(freq, sort: bool = False) -> np.ndarray:
+    """A grid of one's own, ascending; sorted if asked for, else refused if it is not."""
+    freq = np.asarray(freq, float)
+    freq = np.sort(freq) if sort else freq
+    if freq.ndim != 1 or not len(freq) or not np.isfinite(freq).all() or freq[0] < 0 or (np.diff(freq) < 0).any():
+        raise ValueError("a grid's frequencies must be finite, not negative and ascending")
+    return freq
+
+
+def suits_fft(freq: np.ndarray) -> bool:
+    """Zero-based and even, with one point more than a power of two."""
+    n = len(freq) - 1
+    return n >= 1 and n & (n - 1) == 0 and freq[0] == 0 and bool(np.allclose(np.diff(freq), freq[-1] / n, rtol=1e-9, atol=0))
+
+
 def nyquist(t: np.ndarray, kind: str | tuple) -> float:
+    """average, median, (quantile, q), (fixed, frequency) or (dt, interval)."""
     if kind == "average":
         return math.pi * (len(t) - 1) / (t[-1] - t[0])
     if kind == "median":
         return math.pi / float(np.median(np.diff(t)))
     name, value = kind
     if name == "quantile":
-        return math.pi / float(np.quantile(np.diff(t), value, method="hazen"))
-    return float(value)
+        return math.pi / quantile(np.diff(t), value)
+    return math.pi / value if name == "dt" else float(value)
 
 
 def grid(t: np.ndarray, resolution: float, factor: float, kind, fft: bool) -> np.ndarray:

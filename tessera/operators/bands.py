@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .features import Feature, bins, bins_prefix, evaluate, periodogram, top_peaks
+from .features import Feature, bins, bins_prefix, checked, evaluate, series_of, top_peaks, unique_columns
 from .meta import columns_of, of_phases, of_spectrum, resampled_columns, resampled_values
 
 Series = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -64,7 +64,7 @@ def multi_periodogram(bands, peaks: int = 1, weights: str = "count", spectrum=()
 
     weights: count (of points) or chi2. Bands of one point add nothing. Bands are folded each at its own minimum.
     """
-    bands, spectrum, phase = tuple(bands), tuple(spectrum), tuple(phase)
+    bands, spectrum, phase, options = tuple(bands), tuple(spectrum), tuple(phase), checked(options)
     phase_bands = tuple(phase_bands or (bands if phase else ()))
     columns = [f"multicolor_periodogram_{kind}_{i}" for i in range(peaks) for kind in ("period", "period_s_to_n")]
     columns += [f"multicolor_periodogram_{c}" for c in columns_of(spectrum)] + [f"period_folded_{b}_{c}" for b in phase_bands for c in columns_of(phase)]
@@ -84,7 +84,7 @@ def multi_periodogram(bands, peaks: int = 1, weights: str = "count", spectrum=()
         if not share.sum() or not used:
             return [None] * len(columns)
         share = dict(zip(bands, share / share.sum(), strict=True))
-        way = kernels.power_fft if fft and options.get("freq") is None else kernels.power_direct
+        way = kernels.power_fft if fft else kernels.power_direct
         power = sum(share[b] * kernels.normalized(way(s[b][0], s[b][1], freq), len(s[b][0]), normalization) for b in used)
         found = top_peaks(freq, power, max(1, peaks))
         folded = [v for b in phase_bands for v in (of_phases(phase, found[0], *s[b]) if b in s else [None] * len(columns_of(phase)))]
@@ -93,11 +93,17 @@ def multi_periodogram(bands, peaks: int = 1, weights: str = "count", spectrum=()
     return BandFeature("MultiColorPeriodogram", tuple(columns), bands, run)
 
 
-def multi_bins(features, window: float = 1.0, offset: float = 0.0) -> BandFeature:
-    """Features over bands that are binned each."""
+def multi_bins(features, window: float = 1.0, offset: float = 0.0, strict: bool = False) -> BandFeature:
+    """Features over bands that are binned each; strict: all or none of them."""
     features = tuple(features)
     prefix = bins_prefix(window, offset)
-    return BandFeature("MultiColorBins", tuple(prefix + c for f in features for c in f.columns), None, lambda s: [v for binned in [{b: bins(*x, window, offset) for b, x in s.items()}] for f in features for v in evaluate_bands(f, binned)])
+
+    def run(s: Series):
+        binned = {b: bins(*x, window, offset) for b, x in s.items()}
+        values = [v for f in features for v in evaluate_bands(f, binned)]
+        return [None] * len(values) if strict and any(v is None for v in values) else values
+
+    return BandFeature("MultiColorBins", tuple(prefix + c for f in features for c in f.columns), None, run)
 
 
 def multi_bootstrap(features, n: int = 100, seed: int = 0, quantiles=None, scheme: str = "stratified", attempts: int = 10) -> BandFeature:
@@ -148,20 +154,43 @@ def pack_bands(long: DataFrame) -> DataFrame:
     return long.groupBy("series_id").agg(row).select("series_id", *(F.col(f"p.{c}").alias(c) for c in ("band", "t", "m", "w")))
 
 
-def extract_bands(long: DataFrame, wanted: list[BandFeature]) -> DataFrame:
-    """series_id and the columns of all wanted features over bands."""
+def failure(f: BandFeature, series: Series, values: list) -> str | None:
+    """Why a series can't have the feature over bands."""
+    for b in f.bands or ():
+        if b not in series:
+            return f"no band {b}"
+        if len(series[b][0]) < f.least:
+            return f"short in band {b}"
+    missing = [c for c, v in zip(f.columns, values, strict=True) if v is None or not np.isfinite(v)]
+    return f"no value: {missing[0]}" if missing else None
+
+
+def extract_bands(long: DataFrame, wanted: list[BandFeature], strict: bool = False, fill: float | None = None) -> DataFrame:
+    """series_id and the columns of all wanted features over bands; those that a series can't have are fill (null).
+
+    strict: then all of that series are null, and error says what failed first.
+    """
+    wanted = unique_columns(wanted)
     columns = [c for f in wanted for c in f.columns]
     packed = pack_bands(long)
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in columns]
-            for band, *points in zip(*(batch.column(c).to_pylist() for c in ("band", "t", "m", "w")), strict=True):
-                label, arrays = np.array(band, object), [np.array(x, float) for x in points]
-                series = {b: tuple(x[label == b] for x in arrays) for b in sorted(set(band))}
-                for column, v in zip(out, [v for f in wanted for v in evaluate_bands(f, series)], strict=True):
-                    column.append(float(v) if v is not None and np.isfinite(v) else None)
-            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.float64()) for c in out)], ["series_id", *columns])
-
-    schema = ", ".join([f"series_id {packed.schema['series_id'].dataType.simpleString()}", *(f"`{c}` double" for c in columns)])
+            errors: list[str | None] = []
+            band = batch.column("band")
+            label = band.values.dictionary_encode()
+            names, label, ends = label.dictionary.to_pylist(), label.indices.to_numpy(zero_copy_only=False), band.offsets.to_numpy()
+            for i, points in enumerate(series_of(batch)):
+                at = label[ends[i] : ends[i + 1]]
+                series = {names[k]: tuple(x[at == k] for x in points) for k in sorted(set(at.tolist()), key=names.__getitem__)}
+                values = [evaluate_bands(f, series) for f in wanted]
+                error = next(filter(None, (failure(f, series, v) for f, v in zip(wanted, values, strict=True))), None) if strict else None
+                errors.append(error)
+                for column, v in zip(out, [v for found in values for v in found], strict=True):
+                    column.append(fill if error or v is None or not np.isfinite(v) else float(v))
+            more = [pa.array(errors, pa.string())] if strict else []
+            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.float64()) for c in out), *more], ["series_id", *columns, *(["error"] if strict else [])])
+
+    schema = ", ".join([f"series_id {packed.schema['series_id'].dataType.simpleString()}", *(f"`{c}` double" for c in columns), *(["error string"] if strict else [])])
     return packed.mapInArrow(run, schema)

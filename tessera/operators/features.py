@@ -6,13 +6,14 @@ A feature is null for a series that is too short or, where it needs variability,
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import kernels
+from ..functions.kernels import quantile
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,78 @@ class Feature:
     least: int
     kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list]  # of t, m, w
     needs: str = "m"  # of t, m, w, s (order), v (variability)
+    parameters: tuple[tuple[str, object], ...] = ()  # as given
+    plain: bool = False  # one of this module's: a native form may stand for the kernel
+
+    @property
+    def descriptions(self) -> tuple[str, ...]:
+        """One for each column."""
+        about = ABOUT.get(self.name, self.name)
+        return tuple(about if len(self.columns) == 1 else f"{about}: {c}" for c in self.columns)
+
+
+#: What features are, for descriptions.
+ABOUT = {
+    "Amplitude": "half the range of magnitudes",
+    "AndersonDarlingNormal": "Anderson-Darling statistic against a normal distribution of magnitudes",
+    "BeyondNStd": "share of points further from the mean than some standard deviations",
+    "BiweightScale": "Tukey's biweight scale of magnitudes",
+    "Chi2Pvar": "chance of so large a chi-square for a constant series",
+    "Cusum": "range of cumulative sums of magnitudes",
+    "Duration": "time from the first to the last point",
+    "Eta": "von Neumann's ratio of successive differences to the variance",
+    "EtaE": "ratio of squared slopes to the variance, for uneven times",
+    "ExcessVariance": "variance beyond that of the errors, over the squared mean",
+    "InterPercentileRange": "range between a quantile and its mirror",
+    "Kurtosis": "excess kurtosis of magnitudes, without bias",
+    "LaflerKinmanStringLength": "squared length of the closed string of points over the variance",
+    "LinearFit": "weighted straight-line fit",
+    "LinearTrend": "straight-line fit without weights",
+    "MagnitudePercentageRatio": "ratio of two inter-percentile ranges",
+    "MaximumSlope": "largest absolute slope between neighbours",
+    "MaximumTimeInterval": "longest time between neighbours",
+    "MinimumTimeInterval": "shortest time between neighbours",
+    "Mean": "mean magnitude",
+    "MeanVariance": "standard deviation over the mean",
+    "Median": "median magnitude",
+    "MedianAbsoluteDeviation": "median distance from the median",
+    "MedianBufferRangePercentage": "share of points near the median",
+    "ObservationCount": "number of points",
+    "OtsuSplit": "split of magnitudes into two groups by Otsu's threshold",
+    "ParabolaFit": "weighted fit of a parabola",
+    "PercentAmplitude": "largest distance from the median",
+    "PercentDifferenceMagnitudePercentile": "inter-percentile range over the median",
+    "Periodogram": "peaks of the periodogram",
+    "QnScale": "Qn scale of magnitudes",
+    "ReducedChi2": "reduced chi-square of the weighted mean",
+    "Roms": "robust median statistic",
+    "Skew": "skewness of magnitudes, without bias",
+    "StandardDeviation": "standard deviation of magnitudes",
+    "StetsonK": "Stetson's K",
+    "TimeMean": "mean time",
+    "TimeStandardDeviation": "standard deviation of times",
+    "WeightedMean": "weighted mean magnitude",
+}
+
+
+def renamed(f: Feature, *columns: str) -> Feature:
+    """f with other columns."""
+    if len(columns) != len(f.columns):
+        raise ValueError(f"{f.name} has {len(f.columns)} columns")
+    return replace(f, columns=tuple(columns))
+
+
+def unique_columns(wanted: list) -> list:
+    """Features with a column that an earlier one has get a number after it (names hold rounded parameters)."""
+    met: dict[str, int] = {}
+    out = []
+    for f in wanted:
+        columns = []
+        for c in f.columns:
+            met[c.lower()] = times = met.get(c.lower(), 0) + 1
+            columns.append(c if times == 1 else f"{c}_{times}")
+        out.append(replace(f, columns=tuple(columns)) if tuple(columns) != f.columns else f)
+    return out
 
 
 def _name(value: float, scale: float = 1) -> str:
@@ -32,17 +105,6 @@ def _ratio(a: float, b: float) -> float | None:
     return a / b if b else None
 
 
-def quantile(m: np.ndarray, q: float, upper: bool = False) -> float:
-    """Hazen quantile (of 1 - q if upper); its position is found in single precision."""
-    o, n = np.sort(m), len(m)
-    q = np.float32(1) - np.float32(q) if upper else np.float32(q)
-    h = np.float32(n) * q - np.float32(0.5)
-    i = int(np.floor(h))
-    if h < 0:
-        return float(o[0])
-    return float(o[-1]) if i >= n - 1 else float(o[i] + (float(h) - i) * (o[i + 1] - o[i]))
-
-
 def _range(m: np.ndarray, q: float) -> float:
     return quantile(m, q, True) - quantile(m, q)
 
@@ -122,15 +184,22 @@ def parabola(t: np.ndarray, m: np.ndarray, w: np.ndarray) -> list[float | None]:
 
 
 def periodogram(t, m, peaks_: int = 1, resolution: float = 10, factor: float = 1, nyquist="average", fft: bool = True, normalization: str = "psd", freq=None):
-    """freq, power of a series; freq: a grid of one's own (Direct power)."""
-    if freq is None:
-        freq = kernels.grid(t, resolution, factor, nyquist, fft)
-    else:
-        fft = False
-    power = (kernels.power_fft if fft else kernels.power_direct)(t, m, np.asarray(freq, float))
+    """freq, power of a series; freq: a grid of one's own."""
+    freq = kernels.grid(t, resolution, factor, nyquist, fft) if freq is None else np.asarray(freq, float)
+    power = (kernels.power_fft if fft else kernels.power_direct)(t, m, freq)
     return freq, kernels.normalized(power, len(t), normalization)
 
 
+def checked(options: dict) -> dict:
+    """Options of a spectrum; a grid of one's own must ascend and, for the FFT, be zero-based with 2^k + 1 even points."""
+    if options.get("freq") is not None:
+        freq = kernels.arbitrary_grid(options["freq"])
+        if options.get("fft", True) and not kernels.suits_fft(freq):
+            raise ValueError("the FFT needs a zero-based even grid of 2^k + 1 points")
+        options = options | {"freq": freq}
+    return options
+
+
 def top_peaks(freq: np.ndarray, power: np.ndarray, k: int) -> list[float]:
     """Period and signal-to-noise of the k highest peaks; 0 where there are fewer."""
     out, sd = [], np.std(power, ddof=1) if len(power) > 1 else 0
@@ -148,16 +217,48 @@ def bins(t, m, w, window: float = 1.0, offset: float = 0.0):
     return (at[first] + 0.5) * window, np.add.reduceat(w * m, first) / s if len(t) else m, s / size
 
 
+#: What parameters must be.
+_LIMITS: dict[tuple[str, str], Callable[[float], bool]] = {
+    ("BeyondNStd", "nstd"): lambda v: v > 0,
+    ("BiweightScale", "c"): lambda v: v > 0,
+    ("InterPercentileRange", "q"): lambda v: 0 < v < 0.5,
+    ("MagnitudePercentageRatio", "n"): lambda v: 0 < v < 0.5,
+    ("MagnitudePercentageRatio", "d"): lambda v: 0 < v < 0.5,
+    ("MedianBufferRangePercentage", "q"): lambda v: v > 0,
+    ("PercentDifferenceMagnitudePercentile", "q"): lambda v: 0 < v < 0.5,
+}
+
+
+def _roms(m: np.ndarray, w: np.ndarray) -> float:
+    with np.errstate(invalid="ignore"):
+        terms = np.abs((m - np.median(m)) * np.sqrt(w))
+    return terms[np.isfinite(terms)].sum() / (len(m) - 1)
+
+
+def _steepest(t: np.ndarray, m: np.ndarray) -> float | None:
+    s = np.abs(_slopes(t, m))
+    return s.max() if len(s) else None
+
+
+def _spectrum(peaks: int = 1, **options) -> Feature:
+    options = checked(options)
+    columns = tuple(f"periodogram_{kind}_{i}" for i in range(peaks) for kind in ("period", "period_s_to_n"))
+    return Feature("Periodogram", columns, 2, lambda t, m, w: top_peaks(*periodogram(t, m, **options), peaks), "tms")
+
+
 def _make() -> dict[str, Callable[..., Feature]]:
     def simple(name, columns, least, value, needs="m"):
-        return lambda: Feature(name, columns, least, value, needs)
+        return lambda: Feature(name, columns, least, value, needs, plain=True)
 
     def named(name, column, least, value, needs="m", **defaults):
         """column and value take the parameters."""
 
         def make(**given):
             p = defaults | given
-            return Feature(name, (column(**p),), least, lambda t, m, w: [value(m, **p)], needs)
+            for k, v in p.items():
+                if not _LIMITS[name, k](v):
+                    raise ValueError(f"{name} can't have {k} = {v}")
+            return Feature(name, (column(**p),), least, lambda t, m, w: [value(m, **p)], needs, plain=True)
 
         return make
 
@@ -173,7 +274,7 @@ def _make() -> dict[str, Callable[..., Feature]]:
         "ExcessVariance": simple("ExcessVariance", ("excess_variance",), 2, lambda t, m, w: [_ratio(m.var(ddof=1) - (1 / w).mean(), m.mean() ** 2)], "mw"),
         "Kurtosis": simple("Kurtosis", ("kurtosis",), 4, lambda t, m, w: [_kurtosis(m)], "mv"),
         "LaflerKinmanStringLength": simple("LaflerKinmanStringLength", ("lafler_kinman_string_length",), 2, lambda t, m, w: [_lafler(m)], "msv"),
-        "MaximumSlope": simple("MaximumSlope", ("maximum_slope",), 2, lambda t, m, w: [max(np.abs(_slopes(t, m)), default=None)], "tms"),
+        "MaximumSlope": simple("MaximumSlope", ("maximum_slope",), 2, lambda t, m, w: [_steepest(t, m)], "tms"),
         "MaximumTimeInterval": simple("MaximumTimeInterval", ("maximum_time_interval",), 2, lambda t, m, w: [np.diff(t).max()], "ts"),
         "MinimumTimeInterval": simple("MinimumTimeInterval", ("minimum_time_interval",), 2, lambda t, m, w: [np.diff(t).min()], "ts"),
         "Mean": simple("Mean", ("mean",), 1, lambda t, m, w: [m.mean()], "m"),
@@ -184,7 +285,7 @@ def _make() -> dict[str, Callable[..., Feature]]:
         "PercentAmplitude": simple("PercentAmplitude", ("percent_amplitude",), 1, lambda t, m, w: [max(m.max() - np.median(m), np.median(m) - m.min())], "m"),
         "QnScale": simple("QnScale", ("qn",), 2, lambda t, m, w: [kernels.qn(m)], "m"),
         "ReducedChi2": simple("ReducedChi2", ("chi2",), 2, lambda t, m, w: [_weighted(m, w)[1] / (len(m) - 1)], "mw"),
-        "Roms": simple("Roms", ("roms",), 2, lambda t, m, w: [np.abs((m - np.median(m)) * np.sqrt(w)).sum() / (len(m) - 1)], "mw"),
+        "Roms": simple("Roms", ("roms",), 2, lambda t, m, w: [_roms(m, w)], "mw"),
         "Skew": simple("Skew", ("skew",), 3, lambda t, m, w: [len(m) / ((len(m) - 1) * (len(m) - 2)) * _standardized(m, 3)], "mv"),
         "StandardDeviation": simple("StandardDeviation", ("standard_deviation",), 2, lambda t, m, w: [m.std(ddof=1)], "m"),
         "StetsonK": simple("StetsonK", ("stetson_K",), 2, lambda t, m, w: [np.abs((m - _weighted(m, w)[0]) * np.sqrt(w)).sum() / np.sqrt(len(m) * _weighted(m, w)[1])], "mwv"),
@@ -201,7 +302,7 @@ def _make() -> dict[str, Callable[..., Feature]]:
         "MagnitudePercentageRatio": named("MagnitudePercentageRatio", lambda n, d: f"magnitude_percentage_ratio_{_name(n, 100)}_{_name(d, 100)}", 2, lambda m, n, d: _ratio(_range(m, n), _range(m, d)), "mv", n=0.4, d=0.05),
         "MedianBufferRangePercentage": named("MedianBufferRangePercentage", percent("median_buffer_range_percentage"), 1, lambda m, q: (np.abs(m - np.median(m)) < q * (m.max() - m.min()) / 2).mean(), q=0.1),
         "PercentDifferenceMagnitudePercentile": named("PercentDifferenceMagnitudePercentile", percent("percent_difference_magnitude_percentile"), 1, lambda m, q: _ratio(_range(m, q), np.median(m)), q=0.05),
-        "Periodogram": lambda peaks=1, **options: Feature("Periodogram", tuple(f"periodogram_{kind}_{i}" for i in range(peaks) for kind in ("period", "period_s_to_n")), 2, lambda t, m, w: top_peaks(*periodogram(t, m, **options), peaks), "tms"),
+        "Periodogram": _spectrum,
     }
 
 
@@ -209,7 +310,7 @@ FEATURES = _make()
 
 
 def feature(name: str, **parameters) -> Feature:
-    return FEATURES[name](**parameters)
+    return replace(FEATURES[name](**parameters), parameters=tuple(parameters.items()))
 
 
 def register_feature(name: str, make: Callable[..., Feature]) -> None:
@@ -245,16 +346,26 @@ def _strict(wanted: list[Feature], values: list, m: np.ndarray) -> tuple[list, s
     return ([None] * len(values) if error else values), error
 
 
+def series_of(batch: pa.RecordBatch, columns=("t", "m", "w")):
+    """Views of the arrays of each row."""
+    values, ends = [], []
+    for c in columns:
+        column = batch.column(c)
+        values.append(column.values.to_numpy(zero_copy_only=False))
+        ends.append(column.offsets.to_numpy())
+    for i in range(batch.num_rows):
+        yield tuple(v[e[i] : e[i + 1]] for v, e in zip(values, ends, strict=True))
+
+
 def _kernels(df: DataFrame, wanted: list[Feature], keep: list[str], strict: bool, fill: float | None) -> DataFrame:
+    wanted = unique_columns(wanted)
     columns = [c for f in wanted for c in f.columns]
 
     def run(batches):
         for batch in batches:
-            t, m, w = (batch.column(c).to_pylist() for c in ("t", "m", "w"))
             out: list[list] = [[] for _ in columns]
             errors = []
-            for series in zip(t, m, w, strict=True):
-                a, b, c = (np.array(x, float) for x in series)
+            for a, b, c in series_of(batch):
                 values = [v for f in wanted for v in evaluate(f, a, b, c)]
                 if strict:
                     values, error = _strict(wanted, values, b)
@@ -282,9 +393,11 @@ def binned(packed: DataFrame, window: float = 1.0, offset: float = 0.0) -> DataF
 
     def run(batches):
         for batch in batches:
-            rows = [bins(*(np.array(x, float) for x in s), window, offset) for s in zip(*(batch.column(c).to_pylist() for c in "tmw"), strict=True)]
+            rows = [bins(*s, window, offset) for s in series_of(batch)]
+            ends = np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32)
             for i, c in enumerate("tmw"):
-                batch = batch.set_column(batch.schema.get_field_index(c), c, pa.array([r[i].tolist() for r in rows], pa.list_(pa.float64())))
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *(r[i] for r in rows)])))
+                batch = batch.set_column(batch.schema.get_field_index(c), c, made)
             yield batch
 
     return packed.mapInArrow(run, packed.schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.series import in_bands, pack
-from .features import Feature, extract
+from ..sources.series import in_bands
+from .features import Feature
+from .native import extract_long
 
 
 def colors(long: DataFrame, bands: list[str]) -> DataFrame:
@@ -25,6 +26,6 @@ def color_spread(long: DataFrame, bands: list[str]) -> DataFrame:
 
 def per_band(long: DataFrame, wanted: list[Feature], bands: list[str]) -> DataFrame:
     """Each feature of each band, in the order given; null where a band is missing."""
-    found = extract(pack(in_bands(long, bands), "series_id", "band"), wanted, ("series_id", "band"))
+    found = extract_long(in_bands(long, bands), wanted, ("series_id", "band"))
     columns = [(c, b) for f in wanted for c in f.columns for b in bands]
     return found.groupBy("series_id").agg(*(F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{c}_{b}") for c, b in columns))

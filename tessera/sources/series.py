@@ -46,6 +46,21 @@ def in_bands(df: DataFrame, bands: list[str]) -> DataFrame:
     return df.filter(F.col("band").isin(bands))
 
 
+def declare_bands(df: DataFrame, bands: list[str]) -> DataFrame:
+    """df whose bands are all among these; a row of another one fails the query."""
+    other = F.raise_error(F.concat(F.lit("unknown band "), F.coalesce("band", F.lit("null"))))
+    return df.withColumn("band", F.when(F.col("band").isin(bands), F.col("band")).otherwise(other.cast("string")))
+
+
+def from_bands(parts: dict[str, DataFrame]) -> DataFrame:
+    """One long form of several, each a band's."""
+    found = [df.withColumn("band", F.lit(b)) for b, df in parts.items()]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def upsert_band(df: DataFrame, other: DataFrame) -> DataFrame:
     """other's (series, band) groups in place of df's."""
     return df.join(other.select("series_id", "band").distinct(), ["series_id", "band"], "left_anti").unionByName(other)
