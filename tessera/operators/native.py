@@ -16,7 +16,6 @@ from ..sources.series import pack
 from .features import Feature, extract, unique_columns
 
 _over = F.try_divide
-_m, _t, _w = F.col("m"), F.col("t"), F.col("w")
 
 
 def _n() -> Column:
@@ -38,7 +37,7 @@ def _percent_amplitude() -> Column:
 PLAIN: dict[str, Callable[[], list[Column]]] = {
     "Amplitude": lambda: [(F.max("m") - F.min("m")) / 2],
     "Duration": lambda: [F.max("t") - F.min("t")],
-    "ExcessVariance": lambda: [F.when(F.min(F.abs("w")) > 0, _over(F.var_samp("m") - F.avg(_over(F.lit(1.0), _w)), F.avg("m") * F.avg("m")))],
+    "ExcessVariance": lambda: [F.when(F.min(F.abs("w")) > 0, _over(F.var_samp("m") - F.avg(_over(F.lit(1.0), F.col("w"))), F.avg("m") * F.avg("m")))],
     "Kurtosis": lambda: [_moment("kurtosis")],
     "Mean": lambda: [F.avg("m")],
     "MeanVariance": lambda: [_over(F.stddev_samp("m"), F.avg("m"))],
@@ -49,7 +48,7 @@ PLAIN: dict[str, Callable[[], list[Column]]] = {
     "StandardDeviation": lambda: [F.stddev_samp("m")],
     "TimeMean": lambda: [F.avg("t")],
     "TimeStandardDeviation": lambda: [F.stddev_samp("t")],
-    "WeightedMean": lambda: [_over(F.sum(_w * _m), F.sum("w"))],
+    "WeightedMean": lambda: [_over(F.sum(F.col("w") * F.col("m")), F.sum("w"))],
 }
 
 #: What centred features need to know of a series beforehand.
@@ -58,8 +57,8 @@ STATISTICS: dict[str, Callable[[], Column]] = {
     "__sd": lambda: F.stddev_samp("m"),
     "__median": lambda: F.median("m"),
     "__half": lambda: (F.max("m") - F.min("m")) / 2,
-    "__weighted": lambda: _over(F.sum(_w * _m), F.sum("w")),
-    "__centre": lambda: _over(F.sum(_w * _t), F.sum("w")),
+    "__weighted": lambda: _over(F.sum(F.col("w") * F.col("m")), F.sum("w")),
+    "__centre": lambda: _over(F.sum(F.col("w") * F.col("t")), F.sum("w")),
     "__time": lambda: F.avg("t"),
 }
 
@@ -69,13 +68,13 @@ def _share(condition: Column) -> Column:
 
 
 def _chi2() -> Column:
-    d = _m - F.col("__weighted")
-    return F.sum(_w * d * d)
+    d = F.col("m") - F.col("__weighted")
+    return F.sum(F.col("w") * d * d)
 
 
 def _line(known: bool) -> list[Column]:
-    w = _w if known else F.lit(1.0)
-    x, y = _t - F.col("__centre" if known else "__time"), _m - F.col("__weighted" if known else "__mean")
+    w = F.col("w") if known else F.lit(1.0)
+    x, y = F.col("t") - F.col("__centre" if known else "__time"), F.col("m") - F.col("__weighted" if known else "__mean")
     sxx, sxy, syy = F.sum(w * x * x), F.sum(w * x * y), F.sum(w * y * y)
     slope = _over(sxy, sxx)
     chi2 = F.greatest(_over(syy - slope * sxy, _n() - 2), F.lit(0.0))
@@ -85,20 +84,20 @@ def _line(known: bool) -> list[Column]:
 
 
 def _roms() -> Column:
-    term = F.abs(_m - F.col("__median")) * F.sqrt("w")
+    term = F.abs(F.col("m") - F.col("__median")) * F.sqrt("w")
     return _over(F.sum(F.when(~F.isnan(term) & (term < float("inf")), term).otherwise(0.0)), _n() - 1)
 
 
 #: The statistics and the values, given the parameters.
 CENTRED: dict[str, tuple[tuple[str, ...], Callable[..., list[Column]]]] = {
-    "BeyondNStd": (("__mean", "__sd"), lambda nstd=1.0: [_share(F.abs(_m - F.col("__mean")) > nstd * F.col("__sd"))]),
+    "BeyondNStd": (("__mean", "__sd"), lambda nstd=1.0: [_share(F.abs(F.col("m") - F.col("__mean")) > nstd * F.col("__sd"))]),
     "LinearFit": (("__centre", "__weighted"), lambda: _line(True)),
     "LinearTrend": (("__time", "__mean"), lambda: _line(False)),
-    "MedianAbsoluteDeviation": (("__median",), lambda: [F.median(F.abs(_m - F.col("__median")))]),
-    "MedianBufferRangePercentage": (("__median", "__half"), lambda q=0.1: [_share(F.abs(_m - F.col("__median")) < q * F.col("__half"))]),
+    "MedianAbsoluteDeviation": (("__median",), lambda: [F.median(F.abs(F.col("m") - F.col("__median")))]),
+    "MedianBufferRangePercentage": (("__median", "__half"), lambda q=0.1: [_share(F.abs(F.col("m") - F.col("__median")) < q * F.col("__half"))]),
     "ReducedChi2": (("__weighted",), lambda: [_over(_chi2(), _n() - 1)]),
     "Roms": (("__median",), lambda: [_roms()]),
-    "StetsonK": (("__weighted",), lambda: [_over(F.sum(F.abs(_m - F.col("__weighted")) * F.sqrt("w")), F.sqrt(_n() * _chi2()))]),
+    "StetsonK": (("__weighted",), lambda: [_over(F.sum(F.abs(F.col("m") - F.col("__weighted")) * F.sqrt("w")), F.sqrt(_n() * _chi2()))]),
 }
 
 
@@ -130,11 +129,11 @@ def is_native(f: Feature) -> bool:
 
 def _lags(rows: DataFrame, keys: tuple[str, ...], cusum: bool) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("t", "ord", "m", "w")
-    rows = rows.withColumns({"__dm": _m - F.lag("m").over(ordered), "__dt": _t - F.lag("t").over(ordered)})
+    rows = rows.withColumns({"__dm": F.col("m") - F.lag("m").over(ordered), "__dt": F.col("t") - F.lag("t").over(ordered)})
     rows = rows.withColumn("__slope", _over(F.col("__dm"), F.col("__dt")))
     if cusum:
         rows = rows.withColumn("__all", F.avg("m").over(Window.partitionBy(*keys)))
-        rows = rows.withColumn("__sum", F.sum(_m - F.col("__all")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("__sum", F.sum(F.col("m") - F.col("__all")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     return rows
 
 
@@ -179,8 +178,8 @@ def extract_long(long: DataFrame, wanted: list[Feature], keys: tuple[str, ...] =
 
 def binned_long(long: DataFrame, window: float = 1.0, offset: float = 0.0, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """The long form after binning: a bin's centre without the offset, weighted mean and mean weight. One aggregate."""
-    at = F.floor((_t - offset) / window)
-    found = long.groupBy(*keys, at.alias("at")).agg(_over(F.sum(_w * _m), F.sum("w")).alias("m"), F.avg("w").alias("w"))
+    at = F.floor((F.col("t") - offset) / window)
+    found = long.groupBy(*keys, at.alias("at")).agg(_over(F.sum(F.col("w") * F.col("m")), F.sum("w")).alias("m"), F.avg("w").alias("w"))
     return found.select(*keys, ((F.col("at") + 0.5) * window).alias("t"), "m", "w", F.lit(0).cast("long").alias("ord"))
 
 
@@ -188,4 +187,4 @@ def extremes(long: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFra
     """keys; t_min, t_max: the first times of the least and the greatest m; signal_to_noise of the greatest; plateau: all m are one."""
     first = lambda m: F.min_by("t", F.struct(m, "t", "ord"))
     noise = _over(F.max("m") - F.avg("m"), F.stddev_samp("m"))
-    return long.groupBy(*keys).agg(first("m").alias("t_min"), first((-_m).alias("m")).alias("t_max"), noise.alias("signal_to_noise"), (F.min("m") == F.max("m")).alias("plateau"))
+    return long.groupBy(*keys).agg(first("m").alias("t_min"), first((-F.col("m")).alias("m")).alias("t_max"), noise.alias("signal_to_noise"), (F.min("m") == F.max("m")).alias("plateau"))
