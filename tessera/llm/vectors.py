@@ -31,21 +31,26 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(candidates: DataFrame, queries: DataFrame, score, k: int, rows: int, kind: str, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best; candidates and queries hold vec_id, x and what else score reads.
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """query_id, hits: the k best hits of each query's lists."""
+    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
 
-    score(candidates, queries) takes two Arrow tables, of at most about block rows each and vectors of one length, and
-    returns for each query the indices of candidates and their scores, best first. rows: an upper estimate of candidates.
-    Blocks are dealt by hash, so they are even; what blocks found is merged FAN_IN at a time, so no group is larger
-    than FAN_IN * k hits.
+
+def search(candidates: DataFrame, queries: DataFrame, score, k: int, parts: int, kind: str, block: int = BLOCK, low: int = 0, high: int | None = None) -> DataFrame:
+    """query_id, hits (loss, vec_id; best first) of each query's k best among the candidates' parts from low up to high.
+
+    candidates and queries hold vec_id, x and what else score reads. score(candidates, queries) takes two Arrow tables, of
+    at most about block rows each and vectors of one length, and returns for each query the indices of candidates and
+    their scores, best first. Blocks are dealt by hash, so they are even; what blocks found is merged FAN_IN at a time, so
+    no group is larger than FAN_IN * k hits.
     """
-    parts = max(1, math.ceil(rows / block))
+    high = parts if high is None else high
     lots = max(1, math.ceil(queries.count() / block))
     # Both sides' keys need the same types: a cogroup deals an int and a long of one value to different tasks.
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = candidates.withColumn("part", part(parts)).withColumn("lot", each(lots)).withColumn("size", F.size("x"))
-    right = queries.withColumn("lot", part(lots)).withColumn("part", each(parts)).withColumn("size", F.size("x"))
+    each = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b - 1).cast("long")))
+    left = candidates.withColumn("part", part(parts)).filter(F.col("part").between(low, high - 1)).withColumn("lot", each(0, lots)).withColumn("size", F.size("x"))
+    right = queries.withColumn("lot", part(lots)).withColumn("part", each(low, high)).withColumn("size", F.size("x"))
     keys = ["part", "lot", "size"]
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
@@ -60,8 +65,13 @@ def search(candidates: DataFrame, queries: DataFrame, score, k: int, rows: int,
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"part long, query_id long, hits array<struct<loss:{kind},vec_id:long>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
-    while parts > FAN_IN:
-        parts = math.ceil(parts / FAN_IN)
+    while high - low > FAN_IN:
+        low, high = low // FAN_IN, -(-high // FAN_IN)
         found = found.groupBy("query_id", F.floor(F.col("part") / FAN_IN).alias("part")).agg(best)
-    found = found.groupBy("query_id").agg(best).select("query_id", F.posexplode("hits").alias("at", "hit"))
+    return merged(found, k)
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of each hit."""
+    found = found.select("query_id", F.posexplode("hits").alias("at", "hit"))
     return found.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.loss")).alias("score"))

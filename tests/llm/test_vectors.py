@@ -34,9 +34,40 @@ def test_reading_stops_early():
     rng = np.random.default_rng(3)
     x = np.floor(rng.exponential(40, (500, 4)))
     got = list(sorted_lists.block_top_k(np.arange(500), x, np.arange(20), x[:20], 3))
-    for i, (found, scores) in enumerate(got):
+    for i, (found, scores, read) in enumerate(got):
         want = sorted(((x[j] @ x[i], -j) for j in range(500) if j != i), reverse=True)[:3]
         assert [(s, -f) for f, s in zip(found.tolist(), scores.tolist())] == want
+    assert np.mean([read for *_, read in got]) < 1 and min(read for *_, read in got) <= 0.5
+    # With a bar that others set, less is read, and only what reaches it is given.
+    bars = np.array([scores[0] for _, scores, _ in got], float)
+    again = list(sorted_lists.block_top_k(np.arange(500), x, np.arange(20), x[:20], 3, bars))
+    assert all(scores.tolist() == [s for s in first.tolist() if s >= bar] for (_, scores, _), (_, first, _), bar in zip(again, got, bars))
+    assert np.mean([read for *_, read in again]) < np.mean([read for *_, read in got])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 6, 40])
+def test_blocks_of_any_size_with_ties(n):
+    rng = np.random.default_rng(n)
+    x = rng.integers(-2, 3, (n, 3)).astype(float)
+    q = rng.integers(-2, 3, (7, 3)).astype(float)
+    own = np.arange(7)
+    for bars in (None, np.full(7, 1.0)):
+        for i, (found, scores, _) in enumerate(sorted_lists.block_top_k(np.arange(n), x, own, q, 5, bars)):
+            want = sorted((-(x[j] @ q[i]), j) for j in range(n) if j != own[i])[:5]
+            assert [(-s, f) for f, s in zip(found.tolist(), scores.tolist())] == [w for w in want if bars is None or -w[0] >= 1]
+
+
+def test_large_components_are_exact(spark):
+    rows = [(i, [float(i), 1e9 * (i % 3), -(2.0**40) if i % 7 == 0 else 3.0]) for i in range(120)] + [(150, [1e300, 0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(v * 256)) for v in x] for i, x in rows}
+    got = sorted(map(tuple, sorted_lists.top_k(frame, frame.filter("vec_id % 50 = 0"), block=30).collect()))
+    want = []
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], x)), i) for i, x in whole.items() if i != q)[:5]
+        want += [(q, r + 1, i, min(max(-s, -(2**63) + 1), 2**63 - 1)) for r, (s, i) in enumerate(best)]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g for g in got if abs(g[3]) < 2**62] == [w for w in want if abs(w[3]) < 2**62]
 
 
 def test_recall(vectors):
@@ -74,7 +105,7 @@ def test_odd_rows(spark):
     frame = spark.createDataFrame(ODD, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, sorted_lists.top_k(frame, frame.filter("vec_id % 50 = 0")).collect()))
     unit = 256 * 256
-    assert got == [(100, 1, 7, 5 * unit), (100, 2, 200, 5 * unit), (100, 3, 8, 0), (100, 4, 20, 0), (200, 1, 7, 5 * unit), (200, 2, 100, 5 * unit), (200, 3, 8, 0), (200, 4, 20, 0)] or got[:2] == [(100, 1, 7, 5 * unit), (100, 2, 200, 5 * unit)]
+    assert got == [(100, 1, 7, 5 * unit), (100, 2, 200, 5 * unit), (100, 3, 8, 0), (100, 4, 20, 0), (200, 1, 7, 5 * unit), (200, 2, 100, 5 * unit), (200, 3, 8, 0), (200, 4, 20, 0)]
     index, books = additive_quantization.build(frame)
     got = sorted(map(tuple, additive_quantization.nearest(index, books, frame.filter("vec_id % 20 = 0")).collect()))
     assert got == [(100, 1, 7, 5.0), (100, 2, 200, 5.0), (100, 3, 8, 0.0), (200, 1, 7, 5.0), (200, 2, 100, 5.0), (200, 3, 8, 0.0)]
