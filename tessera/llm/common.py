@@ -59,6 +59,14 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 2**20):
         yield batch.slice(int(a), int(b - a))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or a longer one if a column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def bitmap_of(ids: DataFrame) -> np.ndarray:
     """Hashes of doc_id as a bitmap of BITS bits."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
@@ -78,7 +86,7 @@ def having(docs: DataFrame, bitmap: np.ndarray, there: bool = True) -> DataFrame
             batch = batch.select(list(range(batch.num_columns - 1)))
             yield batch.filter(pa.array((((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 1) == there))
 
-    at = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)), F.lit(0)).alias("__at")
+    at = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)), F.lit(0)).alias(unused("at", docs.columns))
     return docs.select("*", at).mapInArrow(run, docs.schema)
 
 

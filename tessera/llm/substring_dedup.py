@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, having, materialize, partitions, release, slices, tidy
+from .common import bitmap_of, having, materialize, partitions, release, slices, tidy, unused
 from .fm_index import FMIndex
 from .partenum import WordHashes, grams
 
@@ -227,7 +227,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, names.index("text"))):
             texts, keep = [], []
-            for text, copy, spans in zip(*(batch.column(name).to_pylist() for name in ("text", "__copy", "__spans")), strict=True):
+            for text, copy, spans in zip(*(batch.column(i).to_pylist() for i in (names.index("text"), -2, -1)), strict=True):
                 if copy or spans:
                     words, out, end = words_of(text), [], 0
                     for a, b in [] if copy else sorted((s["low"], s["high"]) for s in spans):
@@ -239,12 +239,13 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 else:
                     keep.append(True)
                 texts.append(text)
-            out = batch.select(names).set_column(names.index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
+            out = batch.select(list(range(len(names)))).set_column(names.index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
             if "n_chars" in names:
                 out = out.set_column(names.index("n_chars"), batch.schema.field("n_chars"), pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type))
             yield out.filter(pa.array(keep, pa.bool_()))
 
     bitmap = bitmap_of(found)
-    joined = having(docs, bitmap).join(found.select("doc_id", F.col("copy").alias("__copy"), F.col("spans").alias("__spans")), "doc_id", "left").select(*names, "__copy", "__spans")
+    more = [unused(name, names) for name in ("copy", "spans")]
+    joined = having(docs, bitmap).join(found.toDF("doc_id", *more), "doc_id", "left").select(*names, *more)
     joined = joined.union(having(docs, bitmap, False).select(*names, F.lit(None).cast("boolean"), F.lit(None).cast(found.schema["spans"].dataType)))
     return joined.mapInArrow(tidy(run), schema)
