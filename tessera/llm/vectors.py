@@ -13,16 +13,17 @@ BLOCK = 2048
 FAN_IN = 64
 
 
-def usable(frame: DataFrame, zero: bool) -> DataFrame:
+def usable(frame: DataFrame, zero: bool, once: bool = True) -> DataFrame:
     """vec_id, x (array of double) of the rows that take part: neither null nor with null or non-finite components; zero vectors only if asked for.
 
-    Rows with a null vec_id take no part; equal rows count once.
+    Rows with a null vec_id take no part; equal rows count once, if not told otherwise.
     """
     x = F.col("embedding").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     if not zero:
         ok &= F.exists(x, lambda v: v != 0)
-    return frame.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).distinct()
+    rows = frame.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    return rows.distinct() if once else rows
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -39,7 +40,7 @@ def merged(found: DataFrame, k: int) -> DataFrame:
 def search(candidates: DataFrame, queries: DataFrame, score, k: int, parts: int, kind: str, block: int = BLOCK, low: int = 0, high: int | None = None) -> DataFrame:
     """query_id, hits (loss, vec_id; best first) of each query's k best among the candidates' parts from low up to high.
 
-    candidates and queries hold vec_id, x and what else score reads. score(candidates, queries) takes two Arrow tables, of
+    candidates and queries hold vec_id, x (or size, its length) and what else score reads. score(candidates, queries) takes two Arrow tables, of
     at most about block rows each and vectors of one length, and returns for each query the indices of candidates and
     their scores, best first. Blocks are dealt by hash, so they are even; what blocks found is merged FAN_IN at a time, so
     no group is larger than FAN_IN * k hits.
@@ -49,19 +50,24 @@ def search(candidates: DataFrame, queries: DataFrame, score, k: int, parts: int,
     # Both sides' keys need the same types: a cogroup deals an int and a long of one value to different tasks.
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")
     each = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b - 1).cast("long")))
-    left = candidates.withColumn("part", part(parts)).filter(F.col("part").between(low, high - 1)).withColumn("lot", each(0, lots)).withColumn("size", F.size("x"))
-    right = queries.withColumn("lot", part(lots)).withColumn("part", each(low, high)).withColumn("size", F.size("x"))
+    sized = lambda rows: rows if "size" in rows.columns else rows.withColumn("size", F.size("x"))
+    left = sized(candidates).withColumn("part", part(parts)).filter(F.col("part").between(low, high - 1)).withColumn("lot", each(0, lots))
+    right = sized(queries).withColumn("lot", part(lots)).withColumn("part", each(low, high))
     keys = ["part", "lot", "size"]
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        query_ids, hits = [], []
+        many, found, scores = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64 if kind == "long" else np.float64)]
+        asked = b["vec_id"] if len(a) else b["vec_id"].slice(0, 0)
         if len(a) and len(b):
-            ids = a["vec_id"].to_numpy()
-            for query_id, (found, scores) in zip(b["vec_id"].to_pylist(), score(a, b), strict=True):
-                query_ids.append(query_id)
-                hits.append([{"loss": -s, "vec_id": i} for i, s in zip(ids[found].tolist(), scores.tolist(), strict=True)])
-        loss = pa.float64() if kind == "double" else pa.int64()
-        return pa.table([pa.array([key[0].as_py()] * len(hits), pa.int64()), pa.array(query_ids, pa.int64()), pa.array(hits, pa.list_(pa.struct([("loss", loss), ("vec_id", pa.int64())])))], ["part", "query_id", "hits"])
+            for at, score_ in score(a, b):
+                many.append(len(at))
+                found.append(at)
+                scores.append(score_)
+        ids = a["vec_id"].to_numpy()[np.concatenate(found)]
+        hits = pa.StructArray.from_arrays([pa.array(-np.concatenate(scores)), pa.array(ids, pa.int64())], ["loss", "vec_id"])
+        asked = asked.combine_chunks().cast(pa.int64())
+        hits = pa.ListArray.from_arrays(pa.array(np.cumsum(many), pa.int32()), hits)
+        return pa.table([pa.array([key[0].as_py()] * len(hits), pa.int64()), asked, hits], ["part", "query_id", "hits"])
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"part long, query_id long, hits array<struct<loss:{kind},vec_id:long>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
