@@ -1,9 +1,13 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import additive_quantization, sorted_lists
 
+LARGE = "/root/testdata/check_l/embeddings.parquet"
+
 
 @pytest.fixture(scope="module")
 def vectors(spark):
@@ -86,6 +90,42 @@ def test_recall(vectors):
     assert all([a[0] for a in sorted(v)] == list(range(1, 21)) and [a[1:] for a in sorted(v)] == sorted(a[1:] for a in v) for v in by.values())
 
 
+@pytest.mark.skipif(not os.path.exists(LARGE), reason="needs a table of several times the sample's size")
+def test_recall_of_rows_beyond_the_sample(spark):
+    vectors = spark.read.parquet(LARGE)
+    ids, x = loaded(vectors)
+    ids = np.array(ids)
+    assert len(ids) > 5 * additive_quantization.SAMPLE
+    got = additive_quantization.nearest(*additive_quantization.build(vectors), vectors.filter("vec_id % 400 = 0")).collect()
+    by, asked = {}, np.flatnonzero(ids % 400 == 0)
+    for r in got:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = x[asked] @ x.T
+    scores[asked[:, None] == np.arange(len(ids))] = -np.inf
+    assert len(got) == 20 * len(asked)
+    assert np.mean([len(by[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20 for q, s in zip(asked, scores)]) >= 0.95
+
+
+def test_ties_and_lengths_that_the_sample_has_not(spark):
+    """Equal vectors go by vec_id also where they are more than a shortlist; a rare length gets its own codebooks."""
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(400)] + [(1000 + i, [float(i), 1.0]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sample in (5, 100):
+        index, books = additive_quantization.build(frame, sample)
+        got = additive_quantization.nearest(index, books, frame.filter("vec_id in (0, 200, 1020)"), k=5, shortlist=20, block=64).collect()
+        assert [(r.rank, r.vec_id) for r in sorted(got) if r.query_id == 0] == [(i, i) for i in range(1, 6)]
+        assert [(r.rank, r.vec_id) for r in sorted(got) if r.query_id == 200] == [(i + 1, i) for i in range(5)]
+        if sample == 100:
+            assert [(r.rank, r.vec_id) for r in sorted(got) if r.query_id == 1020] == [(i, 1030 - i) for i in range(1, 6)]
+        assert {r.vec_id >= 1000 for r in got if r.query_id == 1020} == {True}
+
+
+def test_least_values_are_found_by_groups():
+    step = np.random.default_rng(1).normal(size=(50, 2048)).astype(np.float32)
+    at = additive_quantization._least(step, 8)
+    assert (np.sort(np.take_along_axis(step, at, axis=1), axis=1) == np.sort(step, axis=1)[:, :8]).all()
+
+
 def test_beam_is_no_worse_than_greedy():
     x = np.random.default_rng(0).normal(size=(600, 16)).astype(np.float32)
     books = additive_quantization.fit(x, 4, 16)
