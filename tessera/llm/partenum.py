@@ -9,12 +9,13 @@ parts of a set: a pair that could lose by it has them on both sides.
 
 Equal sets count as one. The sets of a bucket (those that share a signature) form a group with the least of them;
 buckets with the same least set make one group. Within a group, pairs of different components are filtered by size and
-by bitmap, and each set's nearest ones are compared exactly; found links join components, and this goes on with what is
-neither joined nor compared until no pair is left. So no link is lost, no connection is drawn through a pair that has
-not been compared, and a round gives a number of pairs in proportion to its rows, not to their square. A bitmap holds the
-parity of the features of each place, so two of them differ in no more places than the sets differ in features. Large
-groups are cut into blocks: in the first MIXES rounds a set is in one block, another one each time, with the least set;
-later the sets of the group's largest component are, and the others in all blocks. So all pairs of two components meet.
+by bitmap, and each set's nearest ones are compared exactly; found links join components, and this goes on with what
+is neither joined nor compared until no pair is left; once all pairs have met, only sets that had one take part. So no
+link is lost, no connection is drawn through a pair that has not been compared, and a round gives a number of pairs in
+proportion to its rows, not to their square. A bitmap holds the parity of the features of each place, so two of them
+differ in no more places than the sets differ in features. Large groups are cut into blocks: in the first MIXES rounds
+a set is in one block, another one each time, with the least set; later the sets of the group's largest component are,
+and the others in all blocks. So all pairs of two components meet.
 
 Words are split at ASCII white space after A-Z are lower-cased. A text of fewer words than a shingle is one shingle;
 one without words has none and links with nothing, itself its component. Every row of the input gives a row, repeated
@@ -361,14 +362,18 @@ def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     maps = known.join(reps.join(groups.select("class").distinct(), "class", "left_semi"), ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "bits")
     maps = materialize(maps.dropDuplicates(["class"]) if repeated else maps, "bitmaps")
-    comps, links, sets, nearest, turn = None, None, None, NEAREST, 0
+    comps, links, sets, nearest, turn, full = None, None, None, NEAREST, 0, False
     failed = spark.createDataFrame([], "lot long, a long, b long")
     while True:
+        if full:
+            # All pairs of two components have met: a class that has none to compare won't get any, as components only grow.
+            groups = groups.join(found.filter("b is null").select(F.col("a").alias("class")).distinct(), "class", "left_semi")
         if comps is None:
             now = groups.withColumn("comp", F.col("class"))
         else:
             now = groups.join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
             now = materialize(now, "held")
+            groups = now.select("lead", "class", "blocks")
             opened = now.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("lead")
             now = now.join(opened, "lead", "left_semi")
         own = F.pmod(F.xxhash64("class", F.lit(min(turn, mixes))), F.col("blocks"))
@@ -383,8 +388,9 @@ def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
         found = materialize(_round(now.join(maps, "class"), failed, nearest, over, under), "pairs")
         pairs = found.filter("b is not null")
         turn += 1
+        full = turn > mixes
         if pairs.isEmpty():
-            if turn > mixes:
+            if full:
                 break
             continue
         if sets is None or turn <= mixes + 1:
