@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import slices, tidy
 from .pieces import PieceCoder
 
 WINDOW = 1024
@@ -82,7 +83,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         packer = SumOfSquares(window, emit)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 2**22)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = b"".join([*coder.values(text.as_py() or ""), tail])
                 n = len(ids) // 4
@@ -108,4 +109,4 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
             emit(held)
         yield flush()
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(tidy(run), SCHEMA)

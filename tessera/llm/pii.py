@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Fixed order of the kinds; the last is only found by the method.
 KINDS = ("email", "ip", "card", "phone", "secret")
 THRESHOLD = 0.5
@@ -213,7 +215,7 @@ def train(docs: DataFrame) -> Classifier:
                     counts[(kind, *v)] += 1
         yield pa.record_batch([pa.array([list(k) for k in counts], pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     return Classifier({tuple(r.pattern): r.n for r in found.collect()})
 
 
@@ -253,7 +255,7 @@ def find(docs: DataFrame, model: Classifier) -> DataFrame:
                 spans.append(digest(every))
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -281,4 +283,4 @@ def mask(docs: DataFrame, model: Classifier) -> DataFrame:
                 columns = columns.set_column(i, batch.schema.field(i), pa.array([None if t is None else len(t) for t in texts], batch.schema.field(i).type))
             yield columns
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

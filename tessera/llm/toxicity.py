@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 SAMPLE = 20_000
 LEXICON = 200
@@ -168,7 +168,7 @@ def _lexicon(labelled: DataFrame, size: int) -> dict[bytes, float]:
         words = sorted({w for w, t in found if t})  # words that no text of label 1 holds can't be listed
         yield pa.record_batch([pa.array([*words, None], pa.binary()), pa.array([*(found[w, 1] for w in words), rows[1]], pa.int64()), pa.array([*(found[w, 0] for w in words), rows[0]], pa.int64())], ["word", "ones", "zeros"])
 
-    counted = labelled.mapInArrow(run, "word binary, ones long, zeros long").groupBy("word").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counted = labelled.mapInArrow(tidy(run), "word binary, ones long, zeros long").groupBy("word").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     counted = materialize(counted, "toxicity-words")
     total = counted.filter("word is null").collect()
     if not total or not total[0].ones or not total[0].zeros:
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
             x = [features(t or "", lexicon) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    rows = labelled.mapInArrow(run, "doc_id long, toxic int, x array<double>").orderBy("doc_id", "toxic", "x").limit(2 * sample).collect()
+    rows = labelled.mapInArrow(tidy(run), "doc_id long, toxic int, x array<double>").orderBy("doc_id", "toxic", "x").limit(2 * sample).collect()
     y = np.array([r.toxic for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = np.concatenate([model.score(batch.column(1).slice(i, 256).to_pylist()) for i in range(0, len(batch), 256)] or [np.zeros(0)])
             yield pa.record_batch([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -227,4 +227,4 @@ def drop(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(i, 256)
                 yield part.filter(pa.array(model.score(part.column(at).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
