@@ -348,7 +348,8 @@ def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = materialize(facts(docs, words), "shingle-facts")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(partitions(spark), math.ceil(total / PER_PART))
+    # A pair of lead and class comes once from each part that has it: more parts than cores or data need only repeat it.
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / PER_PART))
     groups = materialize(grouped(docs, words, over, under, parts), "groups")
     release(spark)
     reps = materialize(known.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
