@@ -32,6 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -45,6 +46,8 @@ SUBSETS = list(combinations(range(N2), N2 - K2))
 BLOCK = 4096
 MEMO = 100_000
 PER_PART = 2_000_000
+#: Tasks a core in which signatures meet, however many parts there are.
+WAVES = 2
 #: Signatures that a task sorts at once; rows of groups, and pairs, that it compares at once.
 FLUSH, LOT, AT_ONCE = 1_000_000, 20_000, 65_536
 #: Bits of a bitmap for each feature, and of the widest bitmap.
@@ -171,11 +174,37 @@ def facts(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, class long, bits binary")
 
 
+class Fresh:
+    """Leaves out pairs of lead and class that this task gave before.
+
+    Each of 2**places places keeps the last pair that fell there, 16 bytes, so a few pairs come again; none is lost.
+    """
+
+    def __init__(self, places: int) -> None:
+        self.places, self.task, self.held = places, None, None
+
+    def of(self, lead: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        context = TaskContext.get()
+        task = context and context.taskAttemptId()
+        if self.held is None or task != self.task:
+            self.task, self.held = task, np.zeros((1 << self.places, 2), np.int64)
+            self.held[:, 0] = 1  # no pair: a lead is never greater than its class
+        pairs = np.stack([lead, member], 1)
+        at = mix(mix(lead.view(np.uint64)) + member.view(np.uint64)) & np.uint64(len(self.held) - 1)
+        new = (self.held[at] != pairs).any(1)
+        self.held[at] = pairs
+        return lead[new], member[new]
+
+
 def grouped(docs: DataFrame, words: int, over: int, under: int, parts: int) -> DataFrame:
     """lead, class: for each signature that classes share, the least of them and all of them.
 
-    Signatures are dealt to parts by hash; a part holds 12 bytes for each signature of a set in it.
+    Signatures are dealt to parts by hash; a part holds 12 bytes for each signature of a set in it. Sets that share many
+    signatures meet in many parts. The number of parts grows with the data, that of tasks with the cores only, and a
+    task gives a pair once for all its parts.
     """
+    tasks = min(parts, WAVES * docs.sparkSession.sparkContext.defaultParallelism)
+    fresh = Fresh(min(22, max(16, (parts * PER_PART // 128).bit_length())))
 
     def dealt(signatures, classes):
         x = np.concatenate(signatures)
@@ -222,9 +251,11 @@ def grouped(docs: DataFrame, words: int, over: int, under: int, parts: int) -> D
         wide = np.repeat(size > 1, size)
         lead = np.repeat(who[begin[size > 1]], size[size > 1])
         pairs = np.unique(lead * len(every) + who[wide])
-        return pa.table([pa.array(every[pairs // len(every)]), pa.array(every[pairs % len(every)])], ["lead", "class"])
+        lead, member = fresh.of(every[pairs // len(every)], every[pairs % len(every)])
+        return pa.table([pa.array(lead), pa.array(member)], ["lead", "class"])
 
-    return docs.mapInArrow(tidy(sign), "part long, blob binary").groupBy("part").applyInArrow(tidy(meet), "lead long, class long").distinct()
+    dealt_out = docs.mapInArrow(tidy(sign), "part long, blob binary").repartition(tasks, "part")
+    return dealt_out.groupBy("part").applyInArrow(tidy(meet), "lead long, class long").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, over: int, under: int) -> bool:
@@ -348,7 +379,6 @@ def _linked(docs: DataFrame, words: int, over: int, under: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = materialize(facts(docs, words), "shingle-facts")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    # A pair of lead and class comes once from each part that has it: more parts than cores or data need only repeat it.
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / PER_PART))
     groups = materialize(grouped(docs, words, over, under, parts), "groups")
     release(spark)

@@ -95,6 +95,42 @@ def test_no_similar_pair_of_a_group_is_left_out():
     assert left == found - set(zip(a.tolist(), b.tolist(), strict=True))
 
 
+def rows_made(df, name):
+    """df's rows, and how many came out of its first operator of that name."""
+    rows = df.collect()
+
+    def find(node):
+        kind = node.getClass().getSimpleName()
+        if kind == name:
+            return node.metrics().apply("pythonNumRowsReceived").value()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return next((x for x in map(find, inner) if x is not None), None)
+
+    return rows, find(df._jdf.queryExecution().executedPlan())
+
+
+def test_more_parts_do_not_repeat_pairs(spark):
+    frame = spark.createDataFrame(families(5, 600), "doc_id long, text string").repartition(3)
+    few, once = rows_made(partenum.grouped(frame, 3, 80, 100, 1), "FlatMapGroupsInArrowExec")
+    many, made = rows_made(partenum.grouped(frame, 3, 80, 100, 500), "FlatMapGroupsInArrowExec")
+    assert sorted(many) == sorted(few) and once == len(few) > 500
+    assert made <= 2 * spark.sparkContext.defaultParallelism * once
+
+
+@pytest.mark.parametrize("places", [0, 3, 16])
+def test_each_pair_is_given_at_least_once(places):
+    rng = np.random.default_rng(8)
+    fresh, there, given, times = partenum.Fresh(places), set(), set(), 0
+    for _ in range(50):
+        pairs = np.unique(np.sort(rng.integers(-3, 12, (40, 2)), 1), axis=0)
+        there |= set(map(tuple, pairs.tolist()))
+        out = list(zip(*(x.tolist() for x in fresh.of(*np.ascontiguousarray(pairs.T))), strict=True))
+        given |= set(out)
+        times += len(out)
+    assert given == there and (0, 0) in there
+    assert places < 16 or times < 1.1 * len(there)
+
+
 def test_join_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
