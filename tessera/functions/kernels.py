@@ -131,14 +131,19 @@ def nyquist(t: np.ndarray, kind: str | tuple) -> float:
     return math.pi / value if name == "dt" else float(value)
 
 
+def nearest(x: float) -> int:
+    """The nearest whole number, halves up as in SQL (round takes them to even numbers)."""
+    return math.floor(x) + int(x % 1 >= 0.5)
+
+
 def grid(t: np.ndarray, resolution: float, factor: float, kind, fft: bool) -> np.ndarray:
     n, duration = len(t), t[-1] - t[0]
     step = 2 * math.pi * (n - 1) / (n * resolution * duration)
     top = nyquist(t, kind) * factor
     if fft:
-        return np.arange(2 ** max(0, round(math.log2(top / step))) + 1) * step
+        return np.arange(2 ** max(0, nearest(math.log2(top / step))) + 1) * step
     start = 4 * math.pi / duration
-    return start + step * np.arange(max(1, round((top - start) / step)))
+    return start + step * np.arange(max(1, nearest((top - start) / step)))
 
 
 def power_direct(t: np.ndarray, m: np.ndarray, freq: np.ndarray) -> np.ndarray:
